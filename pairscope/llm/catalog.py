@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pairscope.llm import fingerprints, line_dedup, secret_scan, token_output
+from pairscope.llm import fingerprints, line_dedup, ngram_join, secret_scan, token_output
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
     "op5_token_output": token_output.query,
     "op6_line_dedup": line_dedup.query,
+    "op8_ngram_join": ngram_join.query,
     "op9_fingerprints": fingerprints.query,
 }
 ORACLES: dict[str, str] = {
