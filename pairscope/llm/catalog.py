@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairscope.llm import fingerprints, line_dedup, ngram_join, secret_scan, token_output
+from pairscope.llm import decontaminate, fingerprints, line_dedup, ngram_join, secret_scan, token_output
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op8_ngram_join": ngram_join.query,
     "op9_fingerprints": fingerprints.query,
+    "op10_decontaminate": decontaminate.query,
 }
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_scan.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
