@@ -41,13 +41,15 @@ def votes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     low = F.lit((1 << 32) - 1)
 
     def half(h: int) -> Column:
-        out = F.lit(0).cast("long")
-        for k in range(LANES):
-            both = F.col(f"s{h}_{k}")
-            for lane, bit in ((both.bitwiseAND(low), k), (F.shiftrightunsigned(both, 32), k + 32)):
-                value = (1 << bit) if bit < 63 else _LOWEST
-                out = out.bitwiseOR(F.when(lane * 2 > F.col("total"), F.lit(value)).otherwise(F.lit(0).cast("long")))
-        return out
+        pairs, more = F.array(*[F.col(f"s{h}_{k}") for k in range(LANES)]), F.col("total")
+
+        def bit(at: Column, k: Column) -> Column:
+            both = F.get(pairs, k)
+            one = F.when(both.bitwiseAND(low) * 2 > more, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(0)
+            two = F.when(F.shiftrightunsigned(both, 32) * 2 > more, F.call_function("shiftleft", F.lit(1 << 32), k)).otherwise(0)
+            return at.bitwiseOR(one).bitwiseOR(two)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(LANES - 1)), F.lit(0).cast("long"), bit)
 
     return counted.select(*keys, *[half(h).alias(f"f{h}") for h in range(HALVES)])
 
