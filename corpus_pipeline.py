@@ -1,13 +1,34 @@
-"""The corpus pipeline: STAGES in order over documents."""
+"""The corpus pipeline: language ID, line deduplication, near copies, decontamination, SentencePiece ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next one's docs. All but the last keep the columns of documents; the last adds ids, n_ids and round_trip.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from pairscope.llm import decontaminate, lang_crf, line_dedup, ngram_join, sentence_pieces
+from pairscope.llm.common import drop_path, saved, table
+
+STAGES = [
+    ("language_id", lang_crf.stage),
+    ("line_dedup", line_dedup.stage),
+    ("ngram_jaccard_join", ngram_join.stage),
+    ("decontaminate", decontaminate.stage),
+    ("sentence_pieces", sentence_pieces.stage),
+]
+
+#: No SQL expresses the fitted language stage and the tokenizer; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs, made = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if path:
+            drop_path(spark, path)
+        path = made
+    return docs
