@@ -168,3 +168,36 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, k: int, n_rows: int) -> tuple
 def by_row(owners: np.ndarray, n_rows: int) -> np.ndarray:
     """Offsets of each row's part in arrays ordered by owner."""
     return np.searchsorted(owners, np.arange(n_rows + 1))
+
+
+_BITMAP_BLOCK = 1 << 16
+
+
+def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """Which of 2^bits places the 64-bit keys (one column) take by their high bits. Merged on the executors; the size is fixed by bits."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(1 << bits, dtype=bool)
+        for batch in batches:
+            field[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)] = True
+        packed = np.packbits(field).reshape(-1, _BITMAP_BLOCK)
+        taken = [i for i in range(len(packed)) if packed[i].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(taken, pa.int32()), pa.array([packed[i].tobytes() for i in taken], pa.binary())], names=["block", "bits"])
+
+    def merge(part: pa.Table) -> pa.Table:
+        field = np.zeros(_BITMAP_BLOCK, dtype=np.uint8)
+        for x in part.column("bits"):
+            field |= np.frombuffer(x.as_buffer(), dtype=np.uint8)
+        return pa.table({"block": part.column("block")[:1].cast(pa.int32()), "bits": pa.array([field.tobytes()], pa.binary())})
+
+    out = np.zeros((1 << bits) // 8, dtype=np.uint8).reshape(-1, _BITMAP_BLOCK)
+    parts = keys.coalesce(8).mapInArrow(mark, "block int, bits binary")
+    for row in parts.groupBy("block").applyInArrow(merge, "block int, bits binary").collect():
+        out[row["block"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def marked(field: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Of each key, whether its place in a field of bitmap() is taken."""
+    at = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    return ((field[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)

@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope.llm import common
-from pairscope.llm.common import drop_path, saved, splitmix, table
+from pairscope.llm.common import bitmap, drop_path, marked, saved, splitmix, table
 
 SHINGLE, PERCENT = 5, 80
 HASHES = 64
 BITMAP_BITS = 26
-_BLOCK = 1 << 16
 _XOR = splitmix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 _ODD = splitmix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
@@ -71,31 +70,7 @@ def item_index(items: DataFrame) -> DataFrame:
     return found.where(F.size("keys") > 0).select(F.xxhash64("body").alias("rid"), "item_id", "size", "body", "keys")
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Which of 2^BITMAP_BITS places the keys take, merged on the executors; its size doesn't grow."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(1 << BITMAP_BITS, dtype=bool)
-        for batch in batches:
-            field[batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)] = True
-        packed = np.packbits(field).reshape(-1, _BLOCK)
-        taken = [i for i in range(len(packed)) if packed[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(taken, pa.int32()), pa.array([packed[i].tobytes() for i in taken], pa.binary())], names=["block", "bits"])
-
-    def merge(part: pa.Table) -> pa.Table:
-        field = np.zeros(_BLOCK, dtype=np.uint8)
-        for x in part.column("bits"):
-            field |= np.frombuffer(x.as_buffer(), dtype=np.uint8)
-        return pa.table({"block": part.column("block")[:1].cast(pa.int32()), "bits": pa.array([field.tobytes()], pa.binary())})
-
-    out = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8).reshape(-1, _BLOCK)
-    parts = keys.coalesce(8).mapInArrow(mark, "block int, bits binary")
-    for row in parts.groupBy("block").applyInArrow(merge, "block int, bits binary").collect():  # of fixed size
-        out[row["block"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out.reshape(-1)
-
-
-def _window_keys(values: np.ndarray, at: np.ndarray, size: int, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _window_keys(values: np.ndarray, at: np.ndarray, size: int, field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of all windows' minimum hashes those whose place is marked: rows and keys."""
     places = np.arange(len(values)) - np.repeat(at[:-1], np.diff(at))
     starts = np.flatnonzero(places % size == 0)
@@ -106,8 +81,7 @@ def _window_keys(values: np.ndarray, at: np.ndarray, size: int, marked: np.ndarr
         lows = np.minimum.reduceat((values ^ x) * o, starts)
         lows[:-1][joined] = np.minimum(lows[:-1], lows[1:])[joined]
         keys = _key(lows, h, size)
-        spot = (keys >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-        hit = np.flatnonzero((marked[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1)
+        hit = np.flatnonzero(marked(field, keys, BITMAP_BITS))
         found_rows.append(rows[hit])
         found_keys.append(keys[hit])
     return np.concatenate(found_rows), np.concatenate(found_keys)
@@ -118,10 +92,10 @@ def meetings(docs: DataFrame, index: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keys = index.select(F.explode("keys").alias("key"), "rid")
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # powers of two
-    marked = spark.sparkContext.broadcast(_bitmap(keys.select("key")))
+    shared = spark.sparkContext.broadcast(bitmap(keys.select("key"), BITMAP_BITS))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = marked.value
+        field = shared.value
         for batch in batches:
             for first, values, at in _shingled(batch.column(2)):
                 if not len(values):

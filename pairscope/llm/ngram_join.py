@@ -44,6 +44,7 @@ class JoinConfig:
 
 _BLOCK = 1 << 14
 _SKETCH_ROWS = 2
+_REP_BITS = 26
 
 
 def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -150,19 +151,21 @@ def _may_link(n1: Column, n2: Column, p1: Column, p2: Column, percent: int) -> C
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """wanted (c, rep) -> (c, body): the set of each class, from the text of one of its documents."""
+    """wanted (rep) -> (c, body): the sets of the documents rep, by a scan that a bitmap of fixed size guides.
+
+    The bitmap lets some other documents pass, and their sets do no harm."""
+    field = docs.sparkSession.sparkContext.broadcast(common.bitmap(wanted.select(F.xxhash64("rep")), _REP_BITS))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cs, bodies = [], []
-            for c, values in zip(batch.column(0).to_pylist(), text_sets(batch.column(1), k), strict=True):
-                if _set_hash(values, len(values)) == c:
-                    cs.append(c)
-                    bodies.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(bodies, pa.binary())], names=["c", "body"])
+            chosen = common.marked(field.value, batch.column(0).to_numpy().view(np.uint64), _REP_BITS)
+            if not chosen.any():
+                continue
+            sets = list(text_sets(batch.column(1).filter(pa.array(chosen)), k))
+            hashes = [_set_hash(values, len(values)) for values in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array([values.tobytes() for values in sets], pa.binary())], names=["c", "body"])
 
-    joined = wanted.join(docs.select("doc_id", "text"), F.col("rep").eqNullSafe(F.col("doc_id")))
-    return joined.select("c", "text").mapInArrow(find, "c long, body binary").dropDuplicates(["c"])
+    return docs.select(F.xxhash64("doc_id"), "text").mapInArrow(find, "c long, body binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,6 +185,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "body1", "body2").mapInArrow(check, "a long, b long")
 
 
+def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, config: JoinConfig, label: str) -> tuple[DataFrame | None, str]:
+    """Those of pairs (a, b) of classes that are at the threshold, in a table of its own; None where there are no pairs."""
+    pairs, path = saved(pairs, f"{label}-pairs")
+    if pairs.isEmpty():
+        return None, path
+    touched = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    sets, sets_path = saved(_sets(docs, classes.join(touched, "c").select("rep"), config.shingle), f"{label}-sets")
+    found, found_path = saved(_verified(pairs, sets, config.percent), label)
+    for old in (path, sets_path):
+        drop_path(docs.sparkSession, old)
+    return found, found_path
+
+
 def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     """Per document of docs (doc_id, text): doc_id, n_shingles, class_id and component_id."""
     spark, percent = docs.sparkSession, config.percent
@@ -203,9 +219,9 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     led = led.join(classes.select("gid", F.col("c").alias("a")), "gid").join(groups.select(F.col("gid").alias("lead_gid"), F.col("first").alias("b")), "lead_gid").select("a", "b")
     star = led.union(large.where("c <> first").select(F.col("c").alias("a"), F.col("first").alias("b"))).distinct()
 
-    touched = lists.select("gid").union(large.select("gid")).distinct()
-    sets, sets_path = saved(_sets(docs, classes.join(touched, "gid").select("c", "rep"), config.shingle), "sets")
-    edges, star_path = saved(_verified(star, sets, percent), "star")
+    edges, edges_path = _checked(docs, classes, star, config, "star")
+    if edges is None:
+        edges = spark.createDataFrame([], "a long, b long")
     roots = components(edges)
 
     placed = classes.select("gid", "c").join(roots, F.col("c") == F.col("node"), "left").select("gid", "c", F.coalesce("root", "c").alias("root"))
@@ -216,8 +232,8 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     x, y = members.alias("x"), members.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.root") != F.col("y.root"))
     rest = x.join(y, apart & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.p"), F.col("y.p"), percent)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
-    more, more_path = saved(_verified(rest, sets, percent), "rest")
-    if not more.isEmpty():
+    more, more_path = _checked(docs, classes, rest, config, "rest")
+    if more is not None and not more.isEmpty():
         roots = components(edges.union(more))
 
     named = classes.select("c", "rep").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
@@ -225,7 +241,7 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     final = named.join(lowest, "root").select("c", F.col("rep").alias("class_id"), "component_id")
     result = own.select("doc_id", "n", "c").join(final, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
     result, _ = saved(result, "components")
-    for path in (own_path, classes_path, lists_path, sets_path, star_path, members_path, more_path):
+    for path in (own_path, classes_path, lists_path, edges_path, members_path, more_path):
         drop_path(spark, path)
     return result
 
