@@ -67,7 +67,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup(docs).select(*docs.columns)
+    """Documents without repeated windows' later occurrences; one that lost lines and has none but blank ones left goes."""
+    done = dedup(docs)
+    return done.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != "")).select(*docs.columns)
 
 
 def _lines_sql(source: str) -> str:
