@@ -8,9 +8,10 @@ writes no shard and reads back as no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +23,29 @@ from pairscope.llm import sstable
 from pairscope.llm.common import drop_path, saved, scratch, table
 
 END_ID = 2
-#: Distinct words whose ids a worker remembers at most; beyond that it forgets all and starts anew.
-MEMORY_WORDS = 200_000
+#: Distinct words whose ids a worker remembers at most, in each of two generations.
+MEMORY_WORDS = 300_000
 #: Where the tokenizer and str.split() may see other words than white space bounds.
-_UNUSUAL = re.compile("[\x1c-\x1f]|<\\|")
+_UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Kinds of Latin-1 characters: space, letter, mark (a run is one piece), digit (each is one piece), or none of these.
+_SPACE, _LETTER, _MARK, _DIGIT, _OTHER = range(5)
+_KINDS = np.full(256, _OTHER, dtype=np.uint8)
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+_MARKS = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum() and x != 0x27)
+_KINDS[list(map(ord, _MARKS))] = _MARK
+_KINDS[0x30:0x3A] = _DIGIT
+_KINDS[0x20] = _SPACE
+_WORD_END = "</w>"
 
 
 class WordEncoder:
     """The tokenizers library behind a memory of words.
 
     The vocabulary's rules (NFC, lower case, white space dropped, pieces within words) never join what white
-    space parts, so a text's ids are its words' ids in a row. Texts with separators that only str.split() knows,
-    or with marks of special tokens, go to the library whole.
+    space parts, so a text's ids are its words' ids in a row. New words of Latin-1 go to the library many at a
+    time; every piece ends in a token with the vocabulary's word end, and the pieces of a word can be counted, so
+    the ids can be dealt out again. Texts with separators that only str.split() knows, or with marks of special
+    tokens, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -41,26 +53,92 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocab = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(_WORD_END)]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        new = []
+        for w in words:
+            if (ids := self.older.get(w)) is None:
+                new.append(w)
+            else:
+                self.known[w] = ids
+        other = []
+        for i in range(0, len(new), 100):
+            run = new[i : i + 100]
+            try:
+                kinds = _KINDS[np.frombuffer((" ".join(run) + " ").encode("latin-1"), dtype=np.uint8)]
+            except UnicodeEncodeError:
+                kinds = np.array([_OTHER])
+            if (kinds == _OTHER).any():
+                plain = [w for w in run if max(w) <= "\xff" and not (_KINDS[np.frombuffer(w.encode("latin-1"), dtype=np.uint8)] == _OTHER).any()]
+                kept = set(plain)
+                other += [w for w in run if w not in kept]
+                run = plain
+                kinds = _KINDS[np.frombuffer("".join(w + " " for w in run).encode("latin-1"), dtype=np.uint8)]
+            if not run:
+                continue
+            starts = (kinds != _SPACE) & ((kinds == _DIGIT) | (kinds != np.append(_SPACE, kinds[:-1])))
+            pieces = np.cumsum(starts)[kinds == _SPACE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != pieces[-1]:
+                other += run
+                continue
+            raw, cuts = ids.tobytes(), [0, *(ends[pieces - 1] * self.dtype.itemsize).tolist()]
+            self.known.update(zip(run, [raw[a:b] for a, b in pairwise(cuts)], strict=True))
+        if other:
+            self.known.update(zip(other, self._direct(other), strict=True))
+
+    def _missing(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that aren't known. What is remembered are words without marks at their end, and those marks."""
+        known, cores, need = self.known, {}, set()
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core and len(core) < len(w) and "0" <= core[-1] <= "\xff" and _KINDS[ord(core[-1])] in (_LETTER, _DIGIT):
+                cores[w] = core
+                if core not in known:
+                    need.add(core)
+                if (tail := w[len(core) :]) not in known:
+                    need.add(tail)
+            else:
+                need.add(w)
+        self._learn(list(need))
+        return {w: known[core] + known[w[len(core) :]] for w, core in cores.items()}
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids, little-endian, of dtype's width."""
         for text in texts:
-            if _UNUSUAL.search(text):
+            if any(x in text for x in _UNUSUAL):
                 yield self._direct([text])[0]
                 continue
-            parts = text.split()
+            if len(self.known) > MEMORY_WORDS:
+                self.known, self.older = {}, self.known
+            try:
+                text.encode("latin-1")  # here lower case is a matter of single characters, as in the library
+                parts = text.lower().split()
+            except UnicodeEncodeError:
+                parts = text.split()
             known = self.known
-            if new := [w for w in set(parts) if w not in known]:
-                if len(known) + len(new) > MEMORY_WORDS:
-                    known.clear()
-                    new = list(set(parts))
-                known.update(zip(new, self._direct(new), strict=True))
-            yield b"".join([known[w] for w in parts])
+            found = list(map(known.get, parts))
+            if holes := [i for i, ids in enumerate(found) if ids is None]:
+                extra = self._missing({parts[i] for i in holes})
+                for i in holes:
+                    found[i] = extra[w] if (w := parts[i]) in extra else known[w]
+            yield b"".join(found)
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder per worker process, so tasks share its memory of words."""
+    return WordEncoder(path)
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = END_ID) -> DataFrame:
@@ -68,7 +146,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     from pyspark.sql import types as T
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, first, shard = WordEncoder(tokenizer_path), None, None, TaskContext.get().partitionId()
+        encoder, writer, first, shard = word_encoder(tokenizer_path), None, None, TaskContext.get().partitionId()
         end, width = np.array([end_id], dtype=encoder.dtype).tobytes(), encoder.dtype.itemsize
         for batch in batches:
             ids = batch.column(0).to_pylist()
