@@ -91,26 +91,28 @@ def _times(a: Column, t: Column) -> Column:
 
 def lexical(reference: Column, prediction: Column) -> dict[str, Column]:
     """Overlap metrics of two token arrays; ratios are 0 where a side is empty."""
-    shared, n_ref, n_pred = shared_tokens(prediction, reference), F.size(reference), F.size(prediction)
-    both = (n_ref > 0) & (n_pred > 0)
+    n_ref, n_pred = F.size(reference), F.size(prediction)
     zero = F.lit(0.0)
 
-    def f1(p: Column, r: Column) -> Column:
-        return F.when(p + r > 0, 2 * p * r / F.when(p + r > 0, p + r)).otherwise(zero)
+    def once(count: Column, metric) -> Column:  # bound to an element, so a count is made once a metric
+        return F.get(F.transform(F.array(count), metric), 0)
 
     def ratio(x: Column, n: Column) -> Column:
         return F.coalesce(F.try_divide(x.cast("double"), n), zero)
 
-    precision, recall = ratio(shared, n_pred), ratio(shared, n_ref)
-    common = lcs(prediction, reference)
+    def f1(x: Column) -> Column:
+        # with precision x / n_pred and recall x / n_ref, the harmonic mean is 2 x / (n_pred + n_ref)
+        return F.when(x > 0, 2.0 * x / (n_pred + n_ref)).otherwise(zero)
+
     padded_p, padded_r = F.concat(F.lit(" "), F.array_join(prediction, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(reference, " "), F.lit(" "))
+    shared = shared_tokens(prediction, reference)
     return {
         "normalized_exact_match": (n_ref > 0) & (prediction == reference),
         "reference_contained": (n_ref > 0) & F.contains(padded_p, padded_r),
-        "token_precision": precision,
-        "token_recall": recall,
-        "token_f1": F.when(both, f1(precision, recall)).otherwise(zero),
-        "rouge_l_f1": F.when(both, f1(ratio(common, n_pred), ratio(common, n_ref))).otherwise(zero),
+        "token_precision": once(shared, lambda x: ratio(x, n_pred)),
+        "token_recall": once(shared, lambda x: ratio(x, n_ref)),
+        "token_f1": once(shared, f1),
+        "rouge_l_f1": once(lcs(prediction, reference), f1),
     }
 
 

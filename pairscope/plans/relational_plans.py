@@ -51,10 +51,10 @@ def s8(spark, sf):
     return io.indexed(B.table(spark, sf, "benchmark").select("item_id"), ["item_id"])
 
 
-@query("S9_resume", "SELECT conv_id, turn FROM conversations WHERE NOT (turn % 3 = 0 AND role = 'user')")
+@query("S9_resume", "SELECT conv_id, turn FROM conversations WHERE role <> 'system'")
 def s9(spark, sf):
     rows = B.table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return io.pending(rows, rows.where("turn % 3 = 0 AND role = 'user'"), ["conv_id", "turn"]).select("conv_id", "turn")
+    return io.pending(rows, rows.where("role = 'system'"), ["conv_id", "turn"]).select("conv_id", "turn")
 
 
 @query("S12_file_digest", "SELECT count(*)::BIGINT AS n_files, true AS whole FROM (SELECT 1)")
@@ -241,10 +241,10 @@ def v12(spark, sf):
     return C.small_classes(finite, "effect", 50)
 
 
-@query("V13_group_leak", B.with_sql("labeled", "SELECT image_hash FROM labeled WHERE id % 2 = 0 INTERSECT SELECT image_hash FROM labeled WHERE id % 2 = 1"))
+@query("V13_group_leak", B.with_sql("labeled", "SELECT image_hash FROM labeled WHERE effect = 'helps' INTERSECT SELECT image_hash FROM labeled WHERE effect <> 'helps'"))
 def v13(spark, sf):
     rows = B.labeled(spark, sf)
-    return C.leaked_groups(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), "image_hash")
+    return C.leaked_groups(rows.where("effect = 'helps'"), rows.where("effect <> 'helps'"), "image_hash")
 
 
 @query("J1_aligned_pairs", P.B.with_sql("gen", "SELECT a.image_id, a.prediction = b.prediction AS same FROM gen a JOIN gen b ON a.image_id = b.image_id AND a.condition = 'multimodal_conflict' AND b.condition = 'multimodal_clean'"))
@@ -342,10 +342,10 @@ def j13(spark, sf):
     return B.table(spark, sf, "events").join(B.table(spark, sf, "customer").where("c_acctbal > 0"), F.col("user_id") == F.col("c_custkey"), "left_semi").select("user_id").distinct()
 
 
-@query("J14_leak_control", B.with_sql("labeled", "SELECT id FROM labeled WHERE stratum = 'en' AND image_hash NOT IN (SELECT image_hash FROM labeled WHERE stratum <> 'en' OR id % 3 = 0)"))
+@query("J14_leak_control", B.with_sql("labeled", "SELECT id FROM labeled WHERE stratum = 'en' AND image_hash NOT IN (SELECT image_hash FROM labeled WHERE stratum <> 'en' OR before = 1)"))
 def j14(spark, sf):
     rows = B.labeled(spark, sf)
-    return J.without_shared_groups(rows.where("stratum = 'en'"), rows.where("stratum <> 'en' OR id % 3 = 0"), "image_hash").select("id")
+    return J.without_shared_groups(rows.where("stratum = 'en'"), rows.where("stratum <> 'en' OR before = 1"), "image_hash").select("id")
 
 
 @query("J15_upsert", "SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN 'old' END, CASE WHEN l.doc_id % 2 = 1 THEN 'new' END) AS mark FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -412,7 +412,7 @@ def a11(spark, sf):
 
 @query("A12_best_over_variants", "SELECT conv_id, turn, max(length(trim(v))) AS longest, bool_or(trim(v) LIKE 'the%') AS any_the FROM (SELECT conv_id, turn, unnest(string_split(replace(text, chr(10), ' '), ',')) AS v FROM conversations) GROUP BY ALL")
 def a12(spark, sf):
-    parts = F.transform(F.split(F.translate("text", "\n", " "), ","), F.trim)
+    parts = F.transform(F.split(F.translate("text", "\n", " "), ","), lambda x: F.trim(x))
     return B.table(spark, sf, "conversations").select("conv_id", "turn", S.best_of(parts, F.char_length).alias("longest"), F.exists(parts, lambda x: F.startswith(x, F.lit("the"))).alias("any_the"))
 
 

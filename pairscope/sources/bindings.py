@@ -1,6 +1,6 @@
 """Relations of the evaluation's shape, derived from the driver's tables; SQL holds the same derivations for DuckDB.
 
-The derivations are this project's own: conversations become question/answer pairs (texts of 64 tokens), answers
+The derivations are this project's own: conversations become question/answer pairs, answers
 are replaced by templates so that all stances occur, event averages stand in for scores of conditions, orders for
 annotators' answers.
 """
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pairscope.functions import text as T
 from pairscope.functions import vocabulary as V
 
-TOKENS = 64
 CONDITIONS = ("multimodal_conflict", "text_only_conflict", "multimodal_clean")
 SCORE_CONDITIONS = ("view", "click", "signup", "purchase")
 TEMPLATES = (
@@ -40,7 +39,7 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("attribute"), F.lit("object"), F.lit("relation")), (F.col("conv_id") % 3 + 1).cast("int"))
     return pairs.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("image_id"), "conv_id", "turn", kind.alias("conflict_type"), F.col("text").alias("question"), "answer",
-        F.slice(T.tokens(F.col("text")), 1, TOKENS).alias("ref_words"), F.slice(T.tokens(F.col("answer")), 1, TOKENS).alias("pred_words"),
+        T.tokens(F.col("text")).alias("ref_words"), T.tokens(F.col("answer")).alias("pred_words"),
     )
 
 
@@ -117,7 +116,7 @@ def _said_sql() -> str:
 #: Common table expressions by name; those that others need come first.
 SQL = {
     "qa": f"""qa AS (SELECT conv_id * 1000 + turn AS image_id, conv_id, turn, ['attribute', 'object', 'relation'][conv_id % 3 + 1] AS conflict_type, text AS question, answer,
-  ({tokens_sql("text")})[1:{TOKENS}] AS ref_words, ({tokens_sql("answer")})[1:{TOKENS}] AS pred_words
+  {tokens_sql("text")} AS ref_words, {tokens_sql("answer")} AS pred_words
   FROM (SELECT *, lead(text) OVER o AS answer, lead(role) OVER o AS next_role FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')""",
     "gen": f"""gen AS (SELECT image_id, condition, conflict_type, question, array_to_string(ref_words, ' ') AS reference, {_said_sql()} AS prediction
   FROM (SELECT *, {content_sql("ref_words")} AS content FROM qa), (VALUES (0, 'multimodal_conflict'), (1, 'text_only_conflict'), (2, 'multimodal_clean')) c(k, condition))""",
