@@ -35,7 +35,7 @@ from pairscope.llm.common import table
 
 MARK = "▁"
 #: Parts and pairs that a worker remembers at most, parts in each of two generations.
-MEMORY_PARTS, MEMORY_PAIRS = 250_000, 1_000_000
+MEMORY_PARTS, MEMORY_PAIRS = 350_000, 1_000_000
 _ENDS = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum())
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: In paths, a character of the byte fallback is this less its code point.
@@ -64,13 +64,16 @@ class Pieces:
                 self.bytes[int(p.piece[3:-1], 16)] = i
         self.byte_values = {i: b for b, i in self.bytes.items()}
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.longest: dict[str, int] = {}
-        for p in self.ids:
-            for head in {p[:1], p[:2]}:
-                self.longest[head] = max(self.longest.get(head, 0), len(p))
+        self.lexicon: dict = {}  # a state has its arcs by character, and at "" the id of the piece that ends there
+        for p, i in self.ids.items():
+            state = self.lexicon
+            for c in p:
+                state = state.setdefault(c, {})
+            state[""] = i
         self.pairs: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _text(self, token: int) -> str:
         return self.names[token] if token >= 0 else chr(_FALLBACK - token)
@@ -109,18 +112,20 @@ class Pieces:
         return found
 
     def _arcs(self, text: str, at: int) -> list[tuple[int, int]]:
-        """(end, token) of the pieces that start here, long ones first, or the byte fallback."""
-        ids, out = self.ids, []
-        for n in range(min(self.longest.get(text[at : at + 2], 0) or 1, len(text) - at), 1, -1):
-            if (i := ids.get(text[at : at + n])) is not None:
-                out.append((at + n, i))
-        out.append((at + 1, ids.get(text[at], _FALLBACK - ord(text[at]))))
+        """(end, token) of the pieces that start here, short ones first; the byte fallback where no piece is the character."""
+        state, out, end = self.lexicon, [], at
+        while end < len(text) and (state := state.get(text[end])) is not None:
+            end += 1
+            if (i := state.get("")) is not None:
+                out.append((end, i))
+        if not out or out[0][0] > at + 1:
+            out.insert(0, (at + 1, _FALLBACK - ord(text[at])))
         return out
 
     def _bpe_path(self, text: str) -> list[int]:
         """The only finite path: depth first over (place, last piece), each visited once."""
-        n, tried = len(text), set()
-        stack: list[tuple[int, tuple]] = [(0, ())]
+        n, tried, pairs, arcs = len(text), set(), self.pairs, self._arcs
+        stack: list[tuple[int, tuple]] = [(end, (i, ())) for end, i in arcs(text, 0) if end < n or n == 1 or self._alone(text)]
         while stack:
             at, path = stack.pop()
             if at == n:
@@ -129,19 +134,20 @@ class Pieces:
                     out.append(path[0])
                     path = path[1]
                 return out[::-1]
-            if path:
-                if (at, path[0]) in tried:
-                    continue
-                tried.add((at, path[0]))
-                last = path[0]
-                stack += [(end, (i, path)) for end, i in reversed(self._arcs(text, at)) if self._stands(last, i)]
-            else:
-                stack += [(end, (i, ())) for end, i in reversed(self._arcs(text, at)) if end < n or len(self._arcs(text, at)) == 1 or self._alone(text)]
+            last = path[0]
+            if (at, last) in tried:
+                continue
+            tried.add((at, last))
+            for end, i in arcs(text, at):
+                if (stands := pairs.get((last, i))) is None:
+                    stands = self._stands(last, i)
+                if stands:
+                    stack.append((end, (i, path)))
         raise ValueError(f"no path for {text!r}")
 
     def _alone(self, text: str) -> bool:
         """Whether a piece that is the whole text is also what merging gives."""
-        return self._merged(text, "") if len(text) > 1 else True
+        return self._merged(text, "")
 
     def _unigram_path(self, text: str) -> list[int]:
         best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(inf, 0, 0)] * len(text)
@@ -174,12 +180,20 @@ class Pieces:
             core = part.rstrip(_ENDS)
             if core and len(core) < len(part) and core != "\n" and core[-1] + part[len(core)] not in self.joined:
                 head = self.known.get(core)
-                tail = part[len(core) :]
-                return (self._part(core) if head is None else head) + np.array(self.path(tail), dtype="<i4").tobytes()
+                return (self._part(core) if head is None else head) + self._tail(part[len(core) :])
             known = np.array(self.path(part if part[:1] == "\n" else MARK + part), dtype="<i4").tobytes()
         self.known[part] = known
         return known
 
+    def _tail(self, marks: str) -> bytes:
+        """The ids of marks that end a part."""
+        known = self.tails.get(marks)
+        if known is None:
+            if len(self.tails) > MEMORY_PARTS // 10:
+                self.tails.clear()
+            known = self.tails[marks] = np.array(self.path(marks), dtype="<i4").tobytes()
+        return known
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if not text:
