@@ -33,7 +33,8 @@ def read_json_document(spark: SparkSession, path: str, schema: str, rows: str, b
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All columns as strings; quoted line ends are kept, blank cells are empty strings."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"', emptyValue="", nullValue="\0").csv(path)
+    rows = spark.read.schema(schema).options(header=True, multiLine=True, quote='"', escape='"').csv(path)
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str], mode: str = "overwrite") -> None:
