@@ -44,20 +44,26 @@ def removals(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("later"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs without the lines of repeated windows' later occurrences; adds n_lines and n_removed."""
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with the repeated windows' later occurrences cut from text, and __n_lines and __n_removed."""
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     slim = keyed.select("doc_id", F.col("__th").alias("th"), "text")
-    gone = removals(slim).select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone"), "later")
+    gone = removals(slim).select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone"), F.col("later").alias("__later"))
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gone")), "left")
     lines = F.split("text", "\n")
-    covered = F.flatten(F.transform("later", lambda p: F.sequence(p, p + (WINDOW - 1))))
+    covered = F.flatten(F.transform("__later", lambda p: F.sequence(p, p + (WINDOW - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    text = F.when(F.col("later").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col("__later").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_removed = F.when(F.col("later").isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
+    n_removed = F.when(F.col("__later").isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
     own = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    return joined.select(*own, n_lines.alias("__n_lines"), n_removed.alias("__n_removed"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """docs without the lines of repeated windows' later occurrences; adds n_lines and n_removed, in place of own columns of these names."""
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _marked(docs).select(*own, F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +74,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated windows' later occurrences; one that lost lines and has none but blank ones left goes."""
-    done = dedup(docs)
-    return done.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != "")).select(*docs.columns)
+    return _marked(docs).where((F.col("__n_removed") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != "")).select(*docs.columns)
 
 
 def _lines_sql(source: str) -> str:
