@@ -203,11 +203,11 @@ def variants(text: Column) -> Column:
 
 def answer_marks(text: Column) -> Column:
     """Marks of a short answer deleted where one stands beside a space in the text, or any comma between digits; else made spaces. Then periods before non-digits go."""
-    digits = text.rlike(r"\d,\d")
     out = text
     for mark in V.ANSWER_MARKS:
-        beside = F.contains(text, F.lit(f"{mark} ")) | F.contains(text, F.lit(f" {mark}")) | digits
+        beside = F.contains(text, F.lit(f"{mark} ")) | F.contains(text, F.lit(f" {mark}"))
         out = F.replace(out, F.lit(mark), F.when(beside, "").otherwise(" "))
+    out = F.when(text.rlike(r"\d,\d"), F.translate(text, "".join(V.ANSWER_MARKS), "")).otherwise(out)
     return F.regexp_replace(out, r"\.(?!\d)", "")
 
 
@@ -227,25 +227,35 @@ def normalized_answer(text: Column) -> Column:
     return answer_words(answer_marks(plain_answer(text)))
 
 
-def soft_accuracy(prediction: Column, answers: Column) -> Column:
-    """Mean over answers of min(1, matches among the others / 3): of n answers, m match. NULL for no answers."""
+def _bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, as an array's only element."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    def score(p: Column) -> Column:  # bound to an element, so the prediction is evaluated once
-        n, m = F.size(answers), F.size(F.filter(answers, lambda a: a == p))
-        return F.try_divide(m * F.least(F.lit(1.0), (m - 1) / 3.0) + (n - m) * F.least(F.lit(1.0), m / 3.0), n)
 
-    return F.get(F.transform(F.array(prediction), score), 0)
+def _leave_one_out(n: Column, m: Column) -> Column:
+    """Mean over n answers, m of which match, of min(1, matches among the others / 3). NULL for no answers."""
+    return F.try_divide(m * F.least(F.lit(1.0), (m - 1) / 3.0) + (n - m) * F.least(F.lit(1.0), m / 3.0), n)
 
 
-def official_accuracy(prediction: Column, answers: Column) -> Column:
-    """Soft accuracy, normalised only where the answers differ."""
-    raw = F.transform(answers, plain_answer)
-    differ = F.size(F.array_distinct(raw)) > 1
-    return F.when(differ, soft_accuracy(normalized_answer(prediction), F.transform(raw, normalized_answer))).otherwise(soft_accuracy(plain_answer(prediction), raw))
+def soft_accuracy(prediction: Column, answers: Column) -> Column:
+    """Mean over answers of min(1, matches among the others / 3). NULL for no answers."""
+    return _bound(prediction, lambda p: _leave_one_out(F.size(answers), F.size(F.filter(answers, lambda a: a == p))))
 
 
 def normalized_accuracy(prediction: Column, answers: Column) -> Column:
-    return soft_accuracy(normalized_answer(prediction), F.transform(answers, normalized_answer))
+    """Soft accuracy of normalised texts; each distinct answer is normalised once."""
+
+    def score(p: Column) -> Column:
+        matching = F.filter(F.array_distinct(answers), lambda a: normalized_answer(a) == p)
+        return _bound(matching, lambda ok: _leave_one_out(F.size(answers), F.size(F.filter(answers, lambda a: F.array_contains(ok, a)))))
+
+    return _bound(normalized_answer(prediction), score)
+
+
+def official_accuracy(prediction: Column, answers: Column) -> Column:
+    """Soft accuracy, normalised only where the answers differ."""
+    differ = F.size(F.array_distinct(F.transform(answers, plain_answer))) > 1
+    return F.when(differ, normalized_accuracy(prediction, answers)).otherwise(soft_accuracy(plain_answer(prediction), F.transform(answers, plain_answer)))
 
 
 def prompt(question: Column, action: Column) -> Column:

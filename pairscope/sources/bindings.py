@@ -31,10 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df by hash of key, in as many partitions as shuffles have. The next window or grouping by key needs no other
+    exchange, and adaptive execution doesn't fold these partitions for their few bytes: text kernels after it cost far
+    more than bytes tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user turn and the assistant's next: image_id, conflict_type, question, answer, ref_words, pred_words."""
     ahead = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lead("text").over(ahead).alias("answer"), F.lead("role").over(ahead).alias("next_role"))
+    rows = dealt(table(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "turn", "role", "text", F.lead("text").over(ahead).alias("answer"), F.lead("role").over(ahead).alias("next_role"))
     pairs = rows.where("role = 'user' AND next_role = 'assistant'")
     kind = F.element_at(F.array(F.lit("attribute"), F.lit("object"), F.lit("relation")), (F.col("conv_id") % 3 + 1).cast("int"))
     return pairs.select(
@@ -73,7 +80,7 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order priorities as annotators' answers of a customer: question_id, image_id, stratum, answers, majority."""
-    orders = table(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("o_orderkey", "o_orderpriority")).alias("own"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey").groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("o_orderkey", "o_orderpriority")).alias("own"))
     per = orders.groupBy("o_custkey").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("own"), F.max(F.struct("n", "o_orderpriority")).alias("best"))
     joined = per.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(F.col("c_custkey").alias("question_id"), F.col("c_nationkey").cast("long").alias("image_id"), F.col("c_mktsegment").alias("stratum"), F.transform("own", lambda x: x["o_orderpriority"]).alias("answers"), F.col("best.o_orderpriority").alias("majority"))
