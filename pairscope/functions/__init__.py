@@ -1 +1 @@
-
+"""Column functions: text and array kernels."""

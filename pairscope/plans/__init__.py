@@ -1 +1 @@
-
+"""Named queries and whole studies."""

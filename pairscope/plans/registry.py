@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairscope.plans import relational_plans, statistical_plans, text_plans  # noqa: F401
+from pairscope.plans import more_plans, relational_plans, statistical_plans, text_plans  # noqa: F401
 from pairscope.plans.base import ORACLES, QUERIES
 
 

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairscope.operators import align as J
 from pairscope.operators import sampling as O
 from pairscope.operators import select as M
 from pairscope.operators import stats as T
 from pairscope.operators import summarize as S
 from pairscope.plans import relational_plans as R
-from pairscope.plans import text_plans as P
 from pairscope.plans.base import long, query, r6
 from pairscope.sources import bindings as B
 
@@ -347,6 +345,3 @@ def m16(spark, sf):
     rows = _study_rows(spark, sf)
     scored = M.transfer(rows.where("stratum = 'en'"), rows.where("stratum <> 'en'"), STUDY, "score")
     return scored.groupBy("stratum").agg(*[c.alias(n) for n, c in S.policy(F.col("selected"), F.col("before"), F.col("after"), None).items()])
-
-
-__all__ = ["J", "P"]

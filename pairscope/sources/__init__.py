@@ -1 +1 @@
-
+"""Sources, sinks and bindings to the driver tables."""

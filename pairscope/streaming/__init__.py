@@ -1 +1 @@
-
+"""Scoring of arriving records."""
