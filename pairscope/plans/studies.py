@@ -168,7 +168,7 @@ def validate_selectors(rows: DataFrame, study: M.Study, baseline: str, candidate
     """Nested cross-validation of feature sets, a group bootstrap of each policy's utility, and the go/no-go decision for candidate over baseline."""
     decisions = M.nested_cv(rows, study)
     joined = decisions.join(rows.select(study.key, study.target, study.before, study.after, study.group), study.key)
-    label = F.col(study.target) == 1
+    label = F.col(study.target).cast("int") == 1
     per_repeat = joined.groupBy("feature_set", "repeat").agg(*_columns(S.policy(F.col("selected"), F.col(study.before), F.col(study.after))))
     areas = stats.auroc(joined.withColumn("__y", label), "probability", "__y", ["feature_set", "repeat"])
     metrics = per_repeat.join(areas, ["feature_set", "repeat"])
