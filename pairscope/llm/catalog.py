@@ -16,10 +16,11 @@ QUERIES = {
     "op9_fingerprints": fingerprints.query,
     "op10_decontaminate": decontaminate.query,
 }
-#: The others fit a model, hash in ways that DuckDB lacks or find components; tests hold them against brute force.
+#: The others fit a model, use a tokenizer or hash in ways that DuckDB lacks; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secret_scan.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op7_chat_format": chat_format.ORACLE_SQL,
+    "op8_ngram_join": ngram_join.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
