@@ -198,23 +198,67 @@ def _checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, config: Join
     return found, found_path
 
 
-def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
-    """Per document of docs (doc_id, text): doc_id, n_shingles, class_id and component_id."""
-    spark, percent = docs.sparkSession, config.percent
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+@dataclass
+class _Lists:
+    """What both joins start from: documents, classes of equal sets, postings that meet, classes of groups with several, and their tables' paths."""
+
+    own: DataFrame
+    classes: DataFrame
+    lists: DataFrame
+    groups: DataFrame
+    large: DataFrame
+    paths: list[str]
+
+
+def _lists(docs: DataFrame, config: JoinConfig) -> _Lists:
     own, own_path = saved(prefixes(docs, sketch(docs, config), config), "prefixes")
     filled = own.where("n > 0")
     classes, classes_path = saved(filled.groupBy("c").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.min("doc_id").alias("rep")), "classes")
-
     by_token = Window.partitionBy("token")
     best = by_token.orderBy("rarity", "gid")
     posted = filled.dropDuplicates(["gid"]).select("gid", "n", "rarity", F.posexplode("prefix").alias("p", "token"))
     ahead = [F.first(x).over(best).alias(f"lead_{x}") for x in ("gid", "n", "p")]
     lists = posted.select("token", "gid", "n", "p", *ahead, F.count(F.lit(1)).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("held"))
     lists, lists_path = saved(lists.where("held > 1").drop("held"), "lists")
-
     groups = classes.groupBy("gid").agg(F.min("c").alias("first"), F.count(F.lit(1)).alias("size"))
     large = classes.join(groups.where("size > 1"), "gid")
+    return _Lists(own, classes, lists, groups, large, [own_path, classes_path, lists_path])
+
+
+def _members(found: _Lists, placed: DataFrame) -> DataFrame:
+    """Rows (token, c, n, p, and placed's columns) of all classes in all lists; a group of several classes is a list of its own."""
+    inner = found.large.select(F.xxhash64("gid").alias("token"), "gid", "n", F.lit(0).alias("p")).distinct()
+    return found.lists.select("token", "gid", "n", "p").union(inner).join(placed, "gid").drop("gid")
+
+
+def links(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
+    """Every link between documents of different sets, as pairs (doc_id, other_id) of their classes' smallest ids.
+
+    Its output grows with the square of a group of near copies; :func:`join` gives components without it."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = _lists(docs, config)
+    members, members_path = saved(_members(found, found.classes.select("gid", "c")), "members")
+    x, y = members.alias("x"), members.alias("y")
+    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.p"), F.col("y.p"), config.percent)
+    pairs = x.join(y, near).select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    checked, checked_path = _checked(docs, found.classes, pairs, config, "links")
+    if checked is None:
+        checked = docs.sparkSession.createDataFrame([], "a long, b long")
+    names = found.classes.select("c", "rep")
+    out = checked.distinct().join(names.select(F.col("c").alias("a"), F.col("rep").alias("ra")), "a").join(names.select(F.col("c").alias("b"), F.col("rep").alias("rb")), "b")
+    result, _ = saved(out.select(F.least("ra", "rb").alias("doc_id"), F.greatest("ra", "rb").alias("other_id")), "linked")
+    for path in (*found.paths, members_path, checked_path):
+        drop_path(docs.sparkSession, path)
+    return result
+
+
+def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
+    """Per document of docs (doc_id, text): doc_id, n_shingles, class_id and component_id."""
+    spark, percent = docs.sparkSession, config.percent
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = _lists(docs, config)
+    own, classes, lists, groups, large = found.own, found.classes, found.lists, found.groups, found.large
+
     led = lists.where((F.col("gid") != F.col("lead_gid")) & _may_link(F.col("n"), F.col("lead_n"), F.col("p"), F.col("lead_p"), percent)).select("gid", "lead_gid").distinct()
     led = led.join(classes.select("gid", F.col("c").alias("a")), "gid").join(groups.select(F.col("gid").alias("lead_gid"), F.col("first").alias("b")), "lead_gid").select("a", "b")
     star = led.union(large.where("c <> first").select(F.col("c").alias("a"), F.col("first").alias("b"))).distinct()
@@ -225,8 +269,7 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     roots = components(edges)
 
     placed = classes.select("gid", "c").join(roots, F.col("c") == F.col("node"), "left").select("gid", "c", F.coalesce("root", "c").alias("root"))
-    members = lists.select("token", "gid", "n", "p").join(placed, "gid").union(large.select(F.xxhash64("gid").alias("token"), "gid", "n", F.lit(0).alias("p")).distinct().join(placed, "gid"))
-    members = members.select("token", "c", "n", "p", "root")
+    members = _members(found, placed)
     split = members.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     members, members_path = saved(members.join(split, "token"), "members")
     x, y = members.alias("x"), members.alias("y")
@@ -241,7 +284,7 @@ def join(docs: DataFrame, config: JoinConfig = JoinConfig()) -> DataFrame:
     final = named.join(lowest, "root").select("c", F.col("rep").alias("class_id"), "component_id")
     result = own.select("doc_id", "n", "c").join(final, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
     result, _ = saved(result, "components")
-    for path in (own_path, classes_path, lists_path, edges_path, members_path, more_path):
+    for path in (*found.paths, edges_path, members_path, more_path):
         drop_path(spark, path)
     return result
 

@@ -373,6 +373,12 @@ def test_join_of_near_copies(spark):
     for config in (ngram_join.JoinConfig(sketch_bits=16), ngram_join.STAGE):
         got = ngram_join.join(df, config).collect()
         assert keyed(got, "doc_id", "n_shingles", "component_id") == Counter(linked(rows, config.shingle, config.percent))
+    sets = shingle_sets(rows, 4)
+    names = {}
+    for i, s in sets:
+        names.setdefault(s, i)
+    want = {(min(a, b), max(a, b)) for s, a in names.items() for t, b in names.items() if a < b and 100 * len(s & t) >= 85 * len(s | t)}
+    assert {tuple(r) for r in ngram_join.links(df).collect()} == want and len(want) > 10
 
 
 def test_components_of_a_chain(spark):
