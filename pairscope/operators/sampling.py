@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairscope.operators.contracts import ContractError
+from pairscope.operators.ordering import numbered
 
 
 def quotas(df: DataFrame, stratum: str, size: int) -> DataFrame:
@@ -26,7 +27,8 @@ def shuffled_key(seed: int, key: Column) -> Column:
 def stratified(df: DataFrame, key: str, stratum: str, size: int, seed: int) -> DataFrame:
     """A sample without replacement by quotas; order is by hash, and so is the sample's final order (column order)."""
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(shuffled_key(seed, F.col(key)), key))
-    picked = df.withColumn("__rank", rank).join(F.broadcast(quotas(df, stratum, size).select(stratum, "quota")), stratum).where("__rank <= quota")  # a row per stratum
+    # a literal bound on the rank lets every task keep but its first rows before the shuffle
+    picked = df.withColumn("__rank", rank).where(F.col("__rank") <= size).join(F.broadcast(quotas(df, stratum, size).select(stratum, "quota")), stratum).where("__rank <= quota")  # a row per stratum
     return picked.drop("__rank", "quota").withColumn("sample_order", shuffled_key(seed, F.col(key)))
 
 
@@ -78,8 +80,9 @@ def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 
 def evenly_spaced(df: DataFrame, key: str, by: list[str], k: int) -> DataFrame:
-    """k rows of each group at equal steps of their sorted order."""
-    numbered = df.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(key)) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    step = F.floor(F.col("__i") * k / F.col("__n"))
-    before = F.floor((F.col("__i") - 1) * k / F.col("__n"))
-    return numbered.where((F.col("__i") == 0) | (step > before)).drop("__i", "__n")
+    """k rows of each group (by: at least one column) at equal steps of their sorted order."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))  # a row per group
+    rows = numbered(df, by, [key]).join(sizes, by)
+    step = F.floor(F.col("row_idx") * k / F.col("__n"))
+    before = F.floor((F.col("row_idx") - 1) * k / F.col("__n"))
+    return rows.where((F.col("row_idx") == 0) | (step > before)).drop("row_idx", "__n")

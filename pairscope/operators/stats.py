@@ -10,6 +10,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairscope.operators.ordering import numbered
+
 LOG_HALF = log(0.5)
 
 
@@ -62,13 +64,13 @@ def resampled(df: DataFrame, order: list[str], seed: int, replicates: int, by: l
     """Bootstrap samples with replacement within each group of by: replicate, then df's columns.
 
     Rows are numbered per group by order; each (replicate, place) draws a number and joins its row."""
-    numbered = df.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    rows = numbered(df, by, order).withColumnRenamed("row_idx", "__i")
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     draws = sizes.select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     draws = draws.select(*by, "replicate", "__n", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("__place"))
     where = F.concat_ws("|", F.lit(str(seed)), *[F.col(b).cast("string") for b in by])
-    drawn = draws.select(*by, "replicate", draw(where, F.col("replicate"), F.col("__place"), F.col("__n")).cast("int").alias("__i"))
-    return drawn.join(numbered, [*by, "__i"]).drop("__i")
+    drawn = draws.select(*by, "replicate", draw(where, F.col("replicate"), F.col("__place"), F.col("__n")).alias("__i"))
+    return drawn.join(rows, [*by, "__i"]).drop("__i")
 
 
 def interval(df: DataFrame, value: str, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -10,6 +10,7 @@ from pairscope.operators import align as J
 from pairscope.operators import contracts as C
 from pairscope.operators import review as R
 from pairscope.operators import summarize as S
+from pairscope.operators.ordering import numbered
 from pairscope.plans import text_plans as P
 from pairscope.plans.base import long, named, query, r6
 from pairscope.sources import bindings as B
@@ -48,7 +49,7 @@ def s7(spark, sf):
 
 @query("S8_row_index", "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS row_idx FROM benchmark")
 def s8(spark, sf):
-    return io.indexed(B.table(spark, sf, "benchmark").select("item_id"), ["item_id"])
+    return numbered(B.table(spark, sf, "benchmark").select("item_id"), [], ["item_id"])
 
 
 @query("S9_resume", "SELECT conv_id, turn FROM conversations WHERE role <> 'system'")

@@ -103,6 +103,15 @@ def test_bootstrap_is_deterministic_and_has_the_right_size(spark):
     assert one == two and len(one) == 44
 
 
+def test_numbers_within_groups(spark):
+    from pairscope.operators.ordering import numbered
+
+    rows = [(g, i, f"{g}{i}") for g, n in (("a", 700), ("b", 3), (None, 40)) for i in range(n)]
+    got = numbered(spark.createDataFrame(rows, "g string, i long, v string").repartition(7), ["g"], ["i"]).collect()
+    assert len(got) == len(rows) and all(r.row_idx == r.i for r in got)
+    assert sorted(r.row_idx for r in numbered(spark.range(50), [], ["id"]).collect()) == list(range(50))
+
+
 def test_threshold_choice_is_the_scan_over_cuts(spark):
     rng = random.Random(6)
     for _ in range(4):
