@@ -7,29 +7,28 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairscope.operators.ordering import numbered
+from pairscope.operators.ordering import numbered, running_sums
 
 LOG_HALF = log(0.5)
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """Area under the ROC curve with ties as one half: rows are first summed per distinct score, then one window runs over them."""
+    """Area under the ROC curve with ties as one half, from running sums over the distinct scores."""
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(F.when(F.col(label), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label), 0).otherwise(1)).alias("n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("lower", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    sums = ranked.groupBy(*by).agg(F.sum(F.col("p") * (F.col("lower") + F.col("n") / 2)).alias("wins"), F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"))
+    ranked = running_sums(counts, by, [F.col(score)], ["n"])
+    sums = ranked.groupBy(*by).agg(F.sum(F.col("p") * (F.col("n_before") + F.col("n") / 2)).alias("wins"), F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"))
     return sums.select(*by, "n_positive", "n_negative", F.try_divide(F.col("wins"), F.col("n_positive") * F.col("n_negative")).alias("auroc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Sum over distinct scores, from above, of the gain in recall times the precision."""
     counts = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label), 1).otherwise(0)).alias("p"), F.count(F.lit(1)).alias("rows"))
-    above = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = counts.select(*by, "p", F.sum("p").over(above).alias("hits"), F.sum("rows").over(above).alias("seen"))
-    return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * F.col("hits") / F.col("seen")), F.sum("p").cast("double")).alias("average_precision"))
+    steps = running_sums(counts, by, [F.desc(score)], ["p", "rows"])
+    precision = (F.col("p_before") + F.col("p")) / (F.col("rows_before") + F.col("rows"))
+    return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * precision), F.sum("p").cast("double")).alias("average_precision"))
 
 
 def exact_two_sided(first: Column, second: Column) -> Column:
@@ -102,13 +101,13 @@ def distribution(value: Column) -> dict[str, Column]:
 def threshold_choice(df: DataFrame, probability: str, before: str, after: str, by: list[str]) -> DataFrame:
     """The cut on probability that maximises mean utility, then the lowest selection rate, then the highest cut.
 
-    Candidates: 0, every distinct probability, and above 1 (nothing selected). One cumulative window instead of a scan per cut."""
+    Candidates: 0, every distinct probability, and above 1 (nothing selected). Running sums instead of a scan per cut."""
     if not by:
         return threshold_choice(df.withColumn("__all", F.lit(1)), probability, before, after, ["__all"]).drop("__all")
     gains = df.groupBy(*by, probability).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(after) - F.col(before)).alias("gain"))
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(before).cast("double")).alias("base"), F.sum(F.col(after).cast("double")).alias("all_after"))
-    above = Window.partitionBy(*by).orderBy(F.desc(probability)).rowsBetween(Window.unboundedPreceding, 0)
-    cuts = gains.select(*by, F.col(probability).cast("double").alias("threshold"), F.sum("rows").over(above).alias("picked"), F.sum("gain").over(above).cast("double").alias("gain"))
+    above = running_sums(gains, by, [F.desc(probability)], ["rows", "gain"])
+    cuts = above.select(*by, F.col(probability).cast("double").alias("threshold"), (F.col("rows_before") + F.col("rows")).alias("picked"), (F.col("gain_before") + F.col("gain")).cast("double").alias("gain"))
     ends = total.select(*by, F.inline(F.array(F.struct(F.lit(0.0).alias("threshold"), F.col("n").alias("picked"), (F.col("all_after") - F.col("base")).alias("gain")), F.struct(F.lit(1.0000000000000002).alias("threshold"), F.lit(0).cast("long").alias("picked"), F.lit(0.0).alias("gain")))))
     every = cuts.unionByName(ends)
     scored = every.join(total, by).select(*by, "threshold", (F.col("picked") / F.col("n")).alias("selection_rate"), ((F.col("base") + F.col("gain")) / F.col("n")).alias("utility"))
