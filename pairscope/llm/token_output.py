@@ -35,6 +35,8 @@ _MARKS = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum() and x
 _KINDS[list(map(ord, _MARKS))] = _MARK
 _KINDS[0x30:0x3A] = _DIGIT
 _KINDS[0x20] = _SPACE
+#: What a word's core may end in, so that marks after it are a piece of their own.
+_CORE_ENDS = frozenset(chr(x) for x in range(256) if _KINDS[x] in (_LETTER, _DIGIT))
 _WORD_END = "</w>"
 
 
@@ -53,6 +55,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None  # for words that it would leave as they are
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -87,7 +91,9 @@ class WordEncoder:
                 continue
             starts = (kinds != _SPACE) & ((kinds == _DIGIT) | (kinds != np.append(_SPACE, kinds[:-1])))
             pieces = np.cumsum(starts)[kinds == _SPACE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            joined = " ".join(run)
+            own = self.plain if joined == joined.lower() else self.tokenizer
+            ids = np.array(own.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != pieces[-1]:
                 other += run
@@ -102,7 +108,7 @@ class WordEncoder:
         known, cores, need = self.known, {}, set()
         for w in words:
             core = w.rstrip(_MARKS)
-            if core and len(core) < len(w) and "0" <= core[-1] <= "\xff" and _KINDS[ord(core[-1])] in (_LETTER, _DIGIT):
+            if core and len(core) < len(w) and core[-1] in _CORE_ENDS:
                 cores[w] = core
                 if core not in known:
                     need.add(core)
