@@ -1,4 +1,4 @@
-"""SimHash fingerprints and their search in permuted block tables, in DataFrame functions only.
+"""SimHash fingerprints and their exact search in block tables, in DataFrame functions only.
 
 Each word of the lower-cased text votes with its weight on 128 signed bits. A word of up to four letters weighs
 1 and a longer one its length + 1, so rare words rule over function words without a pass for counts. Votes are
@@ -21,7 +21,7 @@ from pairscope.llm.common import drop_path, saved, table
 
 HALVES, LANES = 2, 32
 BITS = HALVES * 64
-RADIUS, BLOCKS = 3, 5
+RADIUS, BLOCKS = 16, 6
 #: Documents that one group of neighbours aims at, and the most groups there are.
 GROUP_ROWS, MOST_GROUPS = 500, 1 << 16
 #: Searches are asked for the documents whose id this divides.
@@ -95,27 +95,39 @@ def edited(docs: DataFrame, bounds: list[int]) -> DataFrame:
 
 
 def within(fingerprints: DataFrame, asked: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """All pairs of asked (q0, q1) and fingerprints (f0, f1, both distinct) at most radius bits apart, by permuted block tables.
+    """All pairs of asked (q0, q1) and fingerprints (f0, f1, both distinct) at most radius bits apart, by block tables.
 
-    Of the blocks, at least blocks - radius agree; there is a table for each choice of so many, keyed by them."""
+    Each block has a number of bits, spare, that it may differ by; as they and one more per block add up to more than
+    radius, some block of a pair keeps to it. A fingerprint is stored once a block, and asked for by every value
+    that near to its block's. A pair comes from its first such block only."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
+    spare = [(radius + 1 + i) // blocks - 1 for i in reversed(range(blocks))]
 
-    def block(names: tuple[str, str], i: int) -> Column:
-        parts = []
+    def block(halves: tuple[Column, Column], i: int) -> Column:
+        out, at = F.lit(0).cast("long"), 0
         for half in range(HALVES):
             first, last = max(edges[i], half * 64), min(edges[i + 1], half * 64 + 64)
             if first < last:
-                width = last - first
-                parts.append(F.shiftrightunsigned(names[half], first - half * 64).bitwiseAND(F.lit((1 << width) - 1)))
-        return F.xxhash64(*parts) if len(parts) > 1 else parts[0]
+                part = F.shiftrightunsigned(halves[half], first - half * 64).bitwiseAND(F.lit((1 << (last - first)) - 1))
+                out, at = out.bitwiseOR(F.shiftleft(part, at)), at + last - first
+        return out
 
-    def keyed(df: DataFrame, names: tuple[str, str]) -> DataFrame:
-        own = [F.struct(F.lit(t).alias("t"), F.xxhash64(*[block(names, i) for i in chosen]).alias("k")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-        return df.select("*", F.inline(F.array(*own)))
+    def flips(i: int) -> list[int]:
+        width = edges[i + 1] - edges[i]
+        return [sum(1 << b for b in chosen) for n in range(spare[i] + 1) for chosen in combinations(range(width), n)]
 
-    found = keyed(asked, ("q0", "q1")).join(keyed(fingerprints, ("f0", "f1")), ["t", "k"])
-    apart = F.bit_count(F.col("q0").bitwiseXOR(F.col("f0"))) + F.bit_count(F.col("q1").bitwiseXOR(F.col("f1")))
-    return found.where(apart <= radius).drop("t", "k").distinct()
+    def probe(i: int) -> Column:
+        return F.transform(_long_array(flips(i)), lambda m: F.struct(F.lit(i).alias("u"), block(other, i).bitwiseXOR(m).alias("v")))
+
+    used = [i for i in range(blocks) if spare[i] >= 0]
+    own, other = (F.col("f0"), F.col("f1")), (F.col("q0"), F.col("q1"))
+    stored = fingerprints.select("*", F.inline(F.array(*[F.struct(F.lit(i).alias("t"), block(own, i).alias("k")) for i in used])))
+    differ = (other[0].bitwiseXOR(own[0]), other[1].bitwiseXOR(own[1]))
+    apart, first = F.bit_count(differ[0]) + F.bit_count(differ[1]), F.lit(True)
+    for i in used:
+        first = first & ((F.col("t") <= i) | (F.bit_count(block(differ, i)) > spare[i]))
+    # asked is small but its probes are not: they are never broadcast
+    return asked.select("*", F.inline(F.concat(*map(probe, used)))).join(stored.hint("merge"), (F.col("u") == F.col("t")) & (F.col("v") == F.col("k")) & (apart <= radius) & first).drop("t", "k", "u", "v")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -133,8 +145,12 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return prints.select("*", *ahead).where("side = 0 AND NOT guest").select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "f0", "f1", "e0", "e1", "n0", "n1")
 
 
-def _hex(name: str) -> Column:
-    return F.lower(F.concat(*[F.lpad(F.hex(f"{name}{h}"), 16, "0") for h in reversed(range(HALVES))]))
+def _hex(halves: list[Column]) -> Column:
+    return F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in reversed(halves)]))
+
+
+def _own(name: str) -> list[Column]:
+    return [F.col(f"{name}{h}") for h in range(HALVES)]
 
 
 def _likeness(a: str, b: str) -> Column:
@@ -144,14 +160,17 @@ def _likeness(a: str, b: str) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, their likeness to the edited and the next text, and for every hundredth id
-    n_near: how many other documents have a fingerprint within RADIUS bits."""
+    near: the distinct fingerprints within RADIUS bits (its own included), and n_near: how many other documents have one of them."""
     prints, path = saved(fingerprint(table(spark, sf_dir, "documents")), "prints")
     distinct = prints.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("copies"))
-    asked = prints.where(F.col("doc_id") % ASKED == 0).select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
-    near = within(distinct, asked).groupBy("q0", "q1").agg((F.sum("copies") - 1).alias("near"))
-    joined = prints.join(near, (F.col("f0") == F.col("q0")) & (F.col("f1") == F.col("q1")), "left")
-    n_near = F.when(F.col("doc_id") % ASKED == 0, F.col("near"))
-    out = joined.select("doc_id", "n_chars", "edited_sha256", _hex("f").alias("fingerprint"), _hex("e").alias("edited_fingerprint"), _likeness("f", "e").alias("near_edited"), _likeness("f", "n").alias("near_next"), n_near.alias("n_near"))
+    searched = F.coalesce(F.col("doc_id") % ASKED == 0, F.lit(False))
+    asked = prints.where(searched).select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
+    near = within(distinct, asked).groupBy("q0", "q1").agg((F.sum("copies") - 1).alias("n_near"), F.collect_list(F.struct("f0", "f1")).alias("near"))
+    # the rows not asked for stay out of the join: large classes of equal fingerprints would meet in one task
+    found = prints.where(searched).join(near, (F.col("f0") == F.col("q0")) & (F.col("f1") == F.col("q1"))).drop("q0", "q1")
+    joined = found.unionByName(prints.where(~searched), allowMissingColumns=True)
+    listed = F.sort_array(F.transform("near", lambda x: _hex([x[f"f{h}"] for h in range(HALVES)])))
+    out = joined.select("doc_id", "n_chars", "edited_sha256", _hex(_own("f")).alias("fingerprint"), _hex(_own("e")).alias("edited_fingerprint"), _likeness("f", "e").alias("near_edited"), _likeness("f", "n").alias("near_next"), "n_near", listed.alias("near"))
     kept, _ = saved(out, "fingerprints")
     drop_path(spark, path)
     return kept

@@ -473,6 +473,37 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == want
 
 
+def test_near_copies_are_found_and_named(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts, planted = {}, []
+    for i in range(0, 4000, 100):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(80, 300))]
+        texts[i] = " ".join(words)
+        for j in (1, 2):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
+                copy[at] = rng.choice(vocabulary)
+            texts[i + j] = " ".join(copy)
+            a, b = (set(zip(*[w[k:] for k in range(5)])) for w in (words, copy))
+            if len(a & b) >= 0.8 * len(a | b):
+                planted.append((i, i + j))
+        texts[i + 3] = texts[i]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in fingerprints.query(spark, str(tmp_path)).collect()}
+    prints = {i: simhash(t) for i, t in texts.items()}
+    for i, r in rows.items():
+        if i % 100:
+            assert r.n_near is None and r.near is None
+            continue
+        close = [j for j in prints if (prints[i] ^ prints[j]).bit_count() <= fingerprints.RADIUS]
+        assert r.n_near == len(close) - 1 and r.near == sorted({rows[j].fingerprint for j in close}), i
+    assert len(planted) > 60
+    assert sum(rows[b].fingerprint in rows[a].near for a, b in planted) >= 0.95 * len(planted)
+
+
 # op10
 
 
