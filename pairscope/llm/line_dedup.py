@@ -4,7 +4,10 @@ Every run of three consecutive lines is a window, known by two 64-bit hashes. A
 once keeps its first occurrence, by (doc_id, hash of text, line); the later occurrences' lines are merged per
 document and removed.
 
-Defined results: texts of fewer than three lines have no window and stay; windows of blank lines alone do not
+A text of fewer than three lines has no such window. The pipeline's stage gives it one of all its lines, which meets
+only other whole short texts; the query doesn't, as its SQL keeps them.
+
+Defined results: texts of fewer than three lines stay in the query; windows of blank lines alone do not
 count; a null text stays null; a null doc_id sorts first; rows equal in doc_id and text count as one document
 and are treated alike; an empty table gives no rows; other columns pass through unchanged.
 """
@@ -19,16 +22,22 @@ from pairscope.llm.common import table
 WINDOW = 3
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """A row per window of docs (doc_id, th, text): doc_id, th, pos and the window's hashes h1, h2."""
-    lines = docs.select("doc_id", "th", F.split("text", "\n").alias("lines")).where(F.size("lines") >= WINDOW)
+def windows(docs: DataFrame, short: bool = False) -> DataFrame:
+    """A row per window of docs (doc_id, th, text): doc_id, th, pos and the window's hashes h1, h2. short: texts of fewer lines are windows too."""
+    split = docs.select("doc_id", "th", F.split("text", "\n").alias("lines"))
+    lines = split.where(F.size("lines") >= WINDOW)
     tails = [F.slice("lines", i + 1, F.size("lines") - (WINDOW - 1)).alias(f"l{i}") for i in range(WINDOW)]
     runs = lines.select("doc_id", "th", F.posexplode(F.arrays_zip(*tails)).alias("pos", "run"))
     own = [F.col(f"run.l{i}") for i in range(WINDOW)]
     blank = F.lit(True)
     for line in own:
         blank = blank & (F.trim(line) == "")
-    return runs.where(~blank).select("doc_id", "th", "pos", F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(WINDOW), *own).alias("h2"))
+    full = runs.where(~blank).select("doc_id", "th", "pos", F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit(WINDOW), *own).alias("h2"))
+    if not short:
+        return full
+    whole = split.where(F.size("lines").between(1, WINDOW - 1) & F.exists("lines", lambda x: F.trim(x) != ""))
+    end = F.concat(F.lit("end"), F.size("lines").cast("string"))
+    return full.unionByName(whole.select("doc_id", "th", F.lit(0).alias("pos"), F.xxhash64(end, "lines").alias("h1"), F.xxhash64(F.lit(WINDOW), end, "lines").alias("h2")))
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -37,33 +46,33 @@ def repeated(found: DataFrame) -> DataFrame:
     return found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1").drop("n")
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, short: bool = False) -> DataFrame:
     """Per document (doc_id, th) the first lines of the windows to remove."""
-    found = windows(docs)
+    found = windows(docs, short)
     later = found.join(repeated(found), ["h1", "h2"]).where(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("later"))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs with the repeated windows' later occurrences cut from text, and __n_lines and __n_removed."""
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     slim = keyed.select("doc_id", F.col("__th").alias("th"), "text")
-    gone = removals(slim).select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone"), F.col("later").alias("__later"))
+    gone = removals(slim, short).select(F.col("doc_id").alias("__id"), F.col("th").alias("__gone"), F.col("later").alias("__later"))
     joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gone")), "left")
     lines = F.split("text", "\n")
     covered = F.flatten(F.transform("__later", lambda p: F.sequence(p, p + (WINDOW - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
     text = F.when(F.col("__later").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_removed = F.when(F.col("__later").isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
+    n_removed = F.when(F.col("__later").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
     own = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
     return joined.select(*own, n_lines.alias("__n_lines"), n_removed.alias("__n_removed"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, short: bool = False) -> DataFrame:
     """docs without the lines of repeated windows' later occurrences; adds n_lines and n_removed, in place of own columns of these names."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return _marked(docs).select(*own, F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+    return _marked(docs, short).select(*own, F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +82,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated windows' later occurrences; one that lost lines and has none but blank ones left goes."""
-    return _marked(docs).where((F.col("__n_removed") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != "")).select(*docs.columns)
+    """Documents without repeated windows' later occurrences, short texts included; one that lost lines and has none but blank ones left goes."""
+    return _marked(docs, short=True).where((F.col("__n_removed") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != "")).select(*docs.columns)
 
 
 def _lines_sql(source: str) -> str:

@@ -285,6 +285,15 @@ def test_lines_keep_columns(spark, odd):
     assert line_dedup.dedup(df).columns == [c for c in df.columns if c != "n_lines"] + ["n_lines", "n_removed"]
 
 
+def test_repeated_short_texts_go_in_the_stage(spark, odd):
+    rows = [(1, "one line"), (2, "one line"), (2, "one line"), (3, "two\nlines"), (4, "two\nlines"), (5, "two lines"), (6, "one line\n"), (7, "two\nlines\nand more"), (8, ""), (9, ""), (10, " \n "), (11, " \n "), (12, None), (13, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in line_dedup.stage(spark, df, odd).collect()) == [1, 3, 5, 6, 7, 8, 9, 10, 11, 12, 13]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(df, short=True).collect()}
+    assert got[2] == ("", 1, 1) and got[3] == ("two\nlines", 2, 0) and got[4] == ("", 2, 2) and got[7][2] == 0
+    assert all(r.n_removed == 0 for r in line_dedup.dedup(df).collect())
+
+
 # op7
 
 
