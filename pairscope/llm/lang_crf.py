@@ -6,8 +6,9 @@ them: as documents come with one language each, training sequences splice runs o
 different languages, as in code-switched text. Forward-backward gives every word's marginal probabilities;
 a document's score for a language is the mean of its words' marginals.
 
-The field is fitted on a bounded, documented sample (PER_LANG documents a language of at most MOST_CHARS
-characters, chosen by a hash of doc_id). All documents are labelled, whole, in sequences of up to STEPS words.
+The field learns every language of the labels. It is fitted on a bounded, documented sample (PER_LANG documents a
+language, chosen by a hash of doc_id; of a longer text a run of words of at most MOST_CHARS characters, from a
+place chosen by that hash). All documents are labelled, whole, in sequences of up to STEPS words.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without training rows every text
 is; ties go to the language that sorts first; repeated rows and null ids are labelled like others (a null id is
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from pairscope.llm import common
 from pairscope.llm.common import splitmix, table
 
-#: Bounds of the training sample, and of the languages learned (the most frequent ones).
-PER_LANG, MOST_CHARS, MOST_LANGS = 800, 20_000, 64
+#: Bounds of the training sample: documents a language, and characters of each.
+PER_LANG, MOST_CHARS = 800, 20_000
 #: Words of a sequence.
 STEPS = 32
 GRAM_BITS, LEXICON_BITS = 15, 16
@@ -120,6 +121,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     if not names:
         return None
     rng, k = np.random.default_rng(seed), len(names)
+    n_sequences = max(SEQUENCES, SEQUENCES * k // 64)  # many languages get their share of words too
     label = np.array([names.index(x) for x in langs])
     parts = list(_tokens(pa.array(texts, pa.large_string())))
     shift = np.cumsum([0] + [len(p[1]) for p in parts])
@@ -134,9 +136,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     slots[(found >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)] = found  # the most frequent word of a slot stays
     # sequences of runs of words: runs of one document each, most sequences of one to three languages
     of_lang = [np.flatnonzero(label[rows] == i) for i in range(k)]
-    chosen = np.zeros((SEQUENCES, STEPS), dtype=np.int64)
-    truth = np.zeros((SEQUENCES, STEPS), dtype=np.int64)
-    for s in range(SEQUENCES):
+    chosen = np.zeros((n_sequences, STEPS), dtype=np.int64)
+    truth = np.zeros((n_sequences, STEPS), dtype=np.int64)
+    for s in range(n_sequences):
         at = 0
         while at < STEPS:
             run = min(STEPS - at, int(rng.geometric(1 / 20)))
@@ -154,8 +156,8 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     past = [np.full_like(x, 1e-6) for x in (grams, lexicon, steps)]
     held = np.ones((BATCH, STEPS), dtype=bool)
     for _ in range(EPOCHS):
-        order = rng.permutation(SEQUENCES)
-        for b in range(0, SEQUENCES - BATCH + 1, BATCH):
+        order = rng.permutation(n_sequences)
+        for b in range(0, n_sequences - BATCH + 1, BATCH):
             picked = order[b : b + BATCH]
             words, real = chosen[picked].ravel(), truth[picked]
             index, first, slot = _features(data, starts[words], ends[words], hashes[words], slots)
@@ -196,17 +198,26 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def passage(text: Column, doc_id: Column) -> Column:
+    """text, or of one beyond MOST_CHARS a run of its words, from a place chosen by a hash of doc_id."""
+    size = F.char_length(text)
+    start = F.pmod(F.xxhash64(doc_id, F.lit("passage")), F.greatest(size - MOST_CHARS + 1, F.lit(1))).cast("int")
+    cut = F.substring(text, start + 1, F.lit(MOST_CHARS))
+    # words that the cut went through are left out, unless nothing else is there
+    inner = F.regexp_replace(F.when(start > 0, F.regexp_replace(cut, r"^\S+", "")).otherwise(cut), r"(?<!\S)\S++$", "")
+    return F.when(size <= MOST_CHARS, text).otherwise(F.when(F.trim(inner) == "", cut).otherwise(inner))
+
+
 def train(docs: DataFrame) -> Field | None:
     """Fits a field on the bounded sample of docs (doc_id, text, lang)."""
-    rows = docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & (F.char_length("text") <= MOST_CHARS))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    rows = docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, PER_LANG / r["count"]))).otherwise(share)
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = rows.where(dice < share).select("doc_id", "text", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * PER_LANG * len(counts)).collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, PER_LANG / r["count"])) for r in counts], "__lang string, share double")
+    found = rows.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(dice < F.col("share"))
+    sample = found.select("doc_id", passage(F.col("text"), F.col("doc_id")).alias("text"), "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * PER_LANG * len(counts)).collect()
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

@@ -188,6 +188,29 @@ def test_code_switching_is_labelled_by_word():
     assert best[:9] == ["en"] * 9 and best[10:] == ["fr"] * (len(best) - 10)
 
 
+def test_rare_languages_and_long_texts_are_learned(spark, monkeypatch):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng, most = random.Random(4), lang_crf.MOST_CHARS
+    rows = [(i, f"word{i % 70} again", f"l{i % 70:02}") for i in range(1400)] + [(2000 + i, "seldom", "rare") for i in range(9)] + [(None, "no id", "none")]
+    long = {3000 + i: prose(rng, "fr", 9000) for i in range(12)} | {3100: "x" * (2 * most), 3101: "a " + "y" * most}
+    rows += [(i, t, "long") for i, t in long.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with monkeypatch.context() as m:
+        m.setattr(lang_crf, "fit", lambda texts, langs: list(zip(texts, langs)))
+        sample = lang_crf.train(df)
+    assert {lang for _, lang in sample} == {f"l{i:02}" for i in range(70)} | {"rare", "long"}
+    runs = [t for t, lang in sample if lang == "long"]
+    assert len(runs) >= 6 and all(0 < len(t) <= most and any(t in x for x in long.values()) for t in runs)
+    words = {w for t in list(long.values())[:12] for w in t.split()}
+    assert all(set(t.split()) <= words for t in runs if "xx" not in t and "yy" not in t)
+    few = spark.createDataFrame([(i, prose(rng, "de", 60), "de") for i in range(60)] + [(i, t, "fr") for i, t in long.items() if i < 3100], df.schema)
+    held = spark.createDataFrame([(1, prose(rng, "fr", 30))], "doc_id long, text string")
+    assert lang_crf.predict(held, lang_crf.train(few)).first()["__lang"] == "fr"
+
+
 # op5
 
 
