@@ -338,6 +338,30 @@ def test_templates_that_rewrite_history_are_found():
     assert chat_format.render(turns, chat_format.turns_template).rewrites is None
 
 
+def numbered(turns):
+    assert not turns or turns[0][0] == "user"
+    return "".join(f"[{n} {r}] {x}\n" for n, (r, x) in enumerate(turns))
+
+
+def test_long_conversations_by_true_prefixes(spark):
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(150)]
+    out = chat_format.render(turns, numbered)
+    assert out.rewrites is None and out.text == numbered(turns) and len(out.spans) == 150
+    assert [out.text[a:b] for a, b in out.spans] == [f"[{n} {r}] {x}\n" for n, (r, x) in enumerate(turns)]
+    assert [out.text[a:b] for a, b in out.loss] == [x for r, x in turns if r == "assistant"]
+
+    def late(ts):
+        return ("long" if len(ts) > 100 else "lead") + numbered(ts)
+
+    out = chat_format.render(turns, late)
+    assert (out.rewrites, out.stayed, out.text, out.spans) == (100, 1, late(turns), [])
+    last = chat_format.render(turns, lambda ts: numbered(ts[:-1]) + (f"<last {len(ts)}>" if len(ts) > 70 else numbered(ts)[len(numbered(ts[:-1])) :]))
+    assert last.rewrites == 71 and last.text == numbered(turns[:-1]) + "<last 150>" and len(last.spans) == 70
+    rows = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = chat_format.format_conversations(rows, late).first()
+    assert (got.formatted, got.rewrites) == (late(turns), 100)
+
+
 def test_rendering_round_trips():
     import random
 
