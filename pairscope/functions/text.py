@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,22 +17,35 @@ from pairscope.functions import vocabulary as V
 
 FLAGS = "(?iuUd)"
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
+_BEYOND_ASCII = r"[^\x00-\x7F]"
 
 
 @lru_cache(maxsize=1)
-def _nfkc_function():
+def _nfkc_functions():
     import unicodedata
 
-    @F.pandas_udf("string")
-    def nfkc(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    def form(text: str | None) -> str | None:  # Arrow's own utf8_normalize doesn't compose
+        return None if text is None else unicodedata.normalize("NFKC", text)
 
-    return nfkc
+    @F.arrow_udf("string")
+    def one(texts: pa.Array) -> pa.Array:
+        return pa.array([form(x) for x in texts.to_pylist()], pa.string())
+
+    @F.arrow_udf("array<string>")
+    def each(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [form(t) for t in x] for x in lists.to_pylist()], pa.list_(pa.string()))
+
+    return one, each
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC, for tables that hold texts beyond ASCII."""
-    return _nfkc_function()(text)
+    """The text in NFKC; an ASCII text reaches the Arrow function as a NULL and stays as it is."""
+    return F.coalesce(_nfkc_functions()[0](F.when(text.rlike(_BEYOND_ASCII), text)), text)
+
+
+def nfkc_each(texts: Column) -> Column:
+    """An array's texts in NFKC, for use where texts are the elements of a lambda."""
+    return F.coalesce(_nfkc_functions()[1](F.when(F.exists(texts, lambda x: x.rlike(_BEYOND_ASCII)), texts)), texts)
 
 
 def strip(text: Column) -> Column:
@@ -45,8 +58,10 @@ def first_line(text: Column) -> Column:
     return F.when(text == "", F.lit(None)).otherwise(strip(F.split(text, "\\r\\n|[\\n\\x0B\\f\\r\\x1c-\\x1e\\x85\\u2028\\u2029]").getItem(0)))
 
 
-def tokens(text: Column, unicode_form: bool = False) -> Column:
-    """Normalised tokens: list marker off, lower case, marks to spaces, articles off, number words to digits."""
+def tokens(text: Column, unicode_form: bool = True) -> Column:
+    """Normalised tokens: NFKC, list marker off, lower case, marks to spaces, articles off, number words to digits.
+
+    Texts that are NFKC already, or elements within a lambda (after nfkc_each), take unicode_form=False."""
     text = nfkc(text) if unicode_form else text
     bare = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]*(?:[-*]|\d+[.)])[\s\x1c-\x1f]*", "")
     plain = F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}_]+", " ")
@@ -59,34 +74,53 @@ def _number(word: Column) -> Column:
     return F.coalesce(F.try_element_at(numbers, word), word)
 
 
-def normalized(text: Column, unicode_form: bool = False) -> Column:
+def normalized(text: Column, unicode_form: bool = True) -> Column:
     return F.array_join(tokens(text, unicode_form), " ")
 
 
+@lru_cache(maxsize=1)
+def _lcs_function():
+    def length(x: list | None, y: list | None) -> int:
+        if not x or not y:
+            return 0
+        places: dict = {}
+        for i, word in enumerate(y):
+            places[word] = places.get(word, 0) | 1 << i
+        full = (1 << len(y)) - 1
+        row = full  # a column of the table as bits: 0 where the length grows by one
+        for word in x:
+            if at := places.get(word):
+                met = row & at
+                row = (row + met | row - met) & full
+        return len(y) - row.bit_count()
+
+    @F.arrow_udf("int")
+    def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+
+    return lcs_length
+
+
 def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: one row of the table at a time."""
-    start = F.transform(b, lambda _: F.lit(0))
+    """Length of the longest common subsequence of two arrays of strings, bit-parallel in an Arrow function; 0 for a NULL."""
+    return _lcs_function()(a, b)
 
-    def row(above: Column, x: Column) -> Column:
-        def cell(state: Column, i: Column) -> Column:
-            corner = F.when(i > 0, F.get(above, i - 1)).otherwise(0)
-            best = F.when(F.get(b, i) == x, corner + 1).otherwise(F.greatest(F.get(above, i), state["last"]))
-            return F.struct(best.alias("last"), F.concat(state["row"], F.array(best)).alias("row"))
 
-        zero = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("row"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), zero, cell, lambda s: s["row"])
+def shared_tokens(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection: of the tokens with their running number among equal ones. Tokens hold no space."""
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.coalesce(F.array_max(F.aggregate(a, start, row)), F.lit(0)))
 
+def _numbered(words: Column) -> Column:
+    def among_equals(ordered: Column) -> Column:
+        return F.transform(ordered, lambda w, i: F.concat_ws(" ", w, (i - F.array_position(ordered, w)).cast("string")))
 
-def shared_tokens(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection."""
-    each = F.transform(F.array_distinct(a), lambda t: F.least(_times(a, t), _times(b, t)))
-    return F.aggregate(each, F.lit(0), lambda x, y: x + y)
+    return _bound(F.array_sort(words), among_equals)
 
 
-def _times(a: Column, t: Column) -> Column:
-    return F.size(F.filter(a, lambda x: x == t))
+def token_f1(reference: Column, prediction: Column) -> Column:
+    """lexical()'s token_f1 alone."""
+    return lexical(reference, prediction)["token_f1"]
 
 
 def lexical(reference: Column, prediction: Column) -> dict[str, Column]:
@@ -94,9 +128,6 @@ def lexical(reference: Column, prediction: Column) -> dict[str, Column]:
     n_ref, n_pred = F.size(reference), F.size(prediction)
     zero = F.lit(0.0)
 
-    def once(count: Column, metric) -> Column:  # bound to an element, so a count is made once a metric
-        return F.get(F.transform(F.array(count), metric), 0)
-
     def ratio(x: Column, n: Column) -> Column:
         return F.coalesce(F.try_divide(x.cast("double"), n), zero)
 
@@ -109,10 +140,10 @@ def lexical(reference: Column, prediction: Column) -> dict[str, Column]:
     return {
         "normalized_exact_match": (n_ref > 0) & (prediction == reference),
         "reference_contained": (n_ref > 0) & F.contains(padded_p, padded_r),
-        "token_precision": once(shared, lambda x: ratio(x, n_pred)),
-        "token_recall": once(shared, lambda x: ratio(x, n_ref)),
-        "token_f1": once(shared, f1),
-        "rouge_l_f1": once(lcs(prediction, reference), f1),
+        "token_precision": ratio(shared, n_pred),
+        "token_recall": ratio(shared, n_ref),
+        "token_f1": f1(shared),
+        "rouge_l_f1": f1(lcs(prediction, reference)),
     }
 
 
@@ -154,32 +185,34 @@ def denied_at(stems: Column, targets: Column) -> Column:
     return F.get(F.filter(places, near), 0)
 
 
-def stance(reference: Column, prediction: Column, prediction_words: Column | None = None, reference_words: Column | None = None) -> dict[str, Column]:
-    """How a response treats a false premise: the first rule that applies decides.
+def _overlap(targets: Column, stems: Column) -> Column:
+    return F.array_sort(F.array_intersect(targets, F.array_distinct(stems)))
+
+
+def _first_rule(text: Column, at: Column) -> Column:
+    """The number of the first rule that applies: 0 for an empty text, then the abstain and the rejection rules, a local negation, none."""
+    found = F.when(text == "", 0)
+    rules = [*V.ABSTAIN_RULES, *V.REJECTION_RULES]
+    for i, (_, pattern) in enumerate(rules, 1):
+        found = found.when(matches(text, pattern), i)
+    return found.when(at.isNotNull(), len(rules) + 1).otherwise(len(rules) + 2)
 
-    prediction_words, reference_words: token columns that exist already."""
-    text = strip(prediction)
-    words = tokens(text) if prediction_words is None else prediction_words
-    targets = content_tokens(tokens(reference) if reference_words is None else reference_words)
-    stems = F.transform(words, stem)
-    overlap = F.array_sort(F.array_intersect(targets, F.array_distinct(stems)))
-    none = F.array().cast("array<string>")
-    at = denied_at(stems, targets)
+
+def _judged(rule: Column, text: Column, stems: Column, overlap: Column, at: Column) -> dict[str, Column]:
+    """The stance's fields by the number of its rule."""
+    abstain, reject = len(V.ABSTAIN_RULES), len(V.REJECTION_RULES)
+    local, names = abstain + reject + 1, ["empty_response", *[n for n, _ in (*V.ABSTAIN_RULES, *V.REJECTION_RULES)], "target_local_negation", "no_rule_match"]
     linked = F.when(F.size(overlap) > 0, "reject_premise").otherwise("ambiguous_rejection")
-    cases = [(text == "", "empty", "empty_response", F.lit(""), none)]
-    cases += [(matches(text, p), "abstain_no_visual_input", name, evidence(text, p), none) for name, p in V.ABSTAIN_RULES]
-    cases += [(matches(text, p), linked, name, evidence(text, p), overlap) for name, p in V.REJECTION_RULES]
+    said = F.when(rule == 0, F.lit(""))
+    for i, (_, pattern) in enumerate((*V.ABSTAIN_RULES, *V.REJECTION_RULES), 1):
+        said = said.when(rule == i, evidence(text, pattern))
     window = F.array_join(F.slice(stems, F.greatest(at - 4, F.lit(1)), at + 6 - F.greatest(at - 5, F.lit(0))), " ")
-    cases.append((at.isNotNull(), "reject_premise", "target_local_negation", window, overlap))
-    names = ("stance", "stance_rule", "stance_evidence", "reference_content_overlap")
-    out = {}
-    for k, (name, rest) in enumerate(zip(names, ("no_explicit_rejection", "no_rule_match", "", overlap), strict=True)):
-        column = None
-        for case in cases:
-            value = case[k + 1] if isinstance(case[k + 1], Column) else F.lit(case[k + 1])
-            column = F.when(case[0], value) if column is None else column.when(case[0], value)
-        out[name] = column.otherwise(rest if isinstance(rest, Column) else F.lit(rest))
-    return out
+    return {
+        "stance": F.when(rule == 0, "empty").when(rule <= abstain, "abstain_no_visual_input").when(rule < local, linked).when(rule == local, "reject_premise").otherwise("no_explicit_rejection"),
+        "stance_rule": F.get(F.array(*map(F.lit, names)), rule),
+        "stance_evidence": said.when(rule == local, window).otherwise(""),
+        "reference_content_overlap": F.when(rule > abstain, overlap).otherwise(F.array().cast("array<string>")),
+    }
 
 
 def with_words(df: DataFrame, reference: str, prediction: str) -> DataFrame:
@@ -187,6 +220,20 @@ def with_words(df: DataFrame, reference: str, prediction: str) -> DataFrame:
     return df.withColumns({"ref_words": tokens(F.col(reference)), "pred_words": tokens(strip(F.col(prediction)))})
 
 
+STANCE_FIELDS = ("stance", "stance_rule", "stance_evidence", "reference_content_overlap")
+
+
+def with_stance(df: DataFrame, prediction: str, prefix: str = "") -> DataFrame:
+    """df (with ref_words and pred_words) and how a response treats a false premise, in fields named with prefix: the
+    first rule that applies decides. Every intermediate result is a column of its own, so stems, targets and the
+    deciding rule are made once a row."""
+    step = df.withColumns({"__text": strip(F.col(prediction)), "__stems": F.transform("pred_words", stem), "__targets": content_tokens(F.col("ref_words"))})
+    step = step.withColumns({"__overlap": _overlap(F.col("__targets"), F.col("__stems")), "__at": denied_at(F.col("__stems"), F.col("__targets"))})
+    step = step.withColumn("__rule", _first_rule(F.col("__text"), F.col("__at")))
+    found = _judged(*(F.col(c) for c in ("__rule", "__text", "__stems", "__overlap", "__at")))
+    return step.select(*df.columns, *[found[n].alias(prefix + n) for n in STANCE_FIELDS])
+
+
 def uncertain(text: Column) -> Column:
     return matches(text, V.UNCERTAINTY)
 

@@ -77,11 +77,27 @@ def split_decided(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("status", F.when(value.isin("yes", "no"), "kept").otherwise("excluded")).withColumn("reason", F.when(value == "uncertain", "label is uncertain").when(value == "", "label is missing").when(value.isin("yes", "no"), "").otherwise("label is unknown"))
 
 
-def evaluation(reference: Column, prediction: Column, conflict: Column, reference_words: Column | None = None, prediction_words: Column | None = None) -> dict[str, Column]:
-    """Fields of a scored generation: overlap, stance on conflict rows, uncertainty on clean ones, and the review it needs."""
-    words_r = T.tokens(reference) if reference_words is None else reference_words
-    words_p = T.tokens(T.strip(prediction)) if prediction_words is None else prediction_words
-    overlap, how = T.lexical(words_r, words_p), T.stance(reference, prediction, words_p, words_r)
+def scored(df: DataFrame, reference: str, prediction: str, conflict: Column) -> DataFrame:
+    """df with the fields of a scored generation: overlap, stance on conflict rows, uncertainty on clean ones, and the
+    review it needs. Tokens and stance are made once a row."""
+    rows = T.with_stance(T.with_words(df, reference, prediction), prediction, "__")
+    fields = _evaluation(F.col(prediction), conflict)
+    return rows.select(*df.columns, *[c.alias(n) for n, c in fields.items()])
+
+
+def judged(df: DataFrame, question: str, reference: str, prediction: str) -> DataFrame:
+    """df with verdict (correct, incorrect or uncertain), verdict_reason and utility (1, 0 or NULL)."""
+    rows = T.with_stance(T.with_words(df, reference, prediction), prediction, "__")
+    fields = _verdict(F.col(question), F.col(reference), F.col(prediction))
+    return rows.select(*df.columns, *[c.alias(n) for n, c in fields.items()])
+
+
+def _stance_columns() -> dict[str, Column]:
+    return {n: F.col(f"__{n}") for n in T.STANCE_FIELDS}
+
+
+def _evaluation(prediction: Column, conflict: Column) -> dict[str, Column]:
+    overlap, how = T.lexical(F.col("ref_words"), F.col("pred_words")), _stance_columns()
     unsure = T.uncertain(T.strip(prediction))
     supported = overlap["normalized_exact_match"] | (overlap["reference_contained"] & ~unsure)
     out = dict(overlap)
@@ -94,12 +110,9 @@ def evaluation(reference: Column, prediction: Column, conflict: Column, referenc
     return out
 
 
-def false_premise_verdict(question: Column, reference: Column, prediction: Column, reference_words: Column | None = None, prediction_words: Column | None = None) -> dict[str, Column]:
-    """correct, incorrect or uncertain, with the reason and the utility 1, 0 or NULL."""
+def _verdict(question: Column, reference: Column, prediction: Column) -> dict[str, Column]:
     reference, prediction = T.strip(reference), T.strip(prediction)
-    words_r = T.tokens(reference) if reference_words is None else reference_words
-    words_p = T.tokens(prediction) if prediction_words is None else prediction_words
-    overlap, how = T.lexical(words_r, words_p), T.stance(reference, prediction, words_p, words_r)
+    overlap, how = T.lexical(F.col("ref_words"), F.col("pred_words")), _stance_columns()
     bare = F.regexp_replace(F.trim(F.regexp_replace(F.lower(prediction), r"(?U)[\s\x1c-\x1f]+", " ")), r"\.+$", "")
     zero = bare.isin("0", "zero") & T.matches(question, V.COUNT_QUESTION) & T.matches(reference, V.ZERO_REFERENCE)
     direct = (how["stance_rule"] == "visual_does_not_contain") & T.matches(how["stance_evidence"], V.DIRECT_REJECTION)
@@ -108,6 +121,7 @@ def false_premise_verdict(question: Column, reference: Column, prediction: Colum
     trusted = (how["stance"] == "reject_premise") & (how["stance_rule"].isin(*V.TRUSTED_REJECTION_RULES) | direct)
     silent = how["stance"] == "no_explicit_rejection"
     verdict = F.when(supported | trusted | absent, "correct").when(silent, "incorrect").otherwise("uncertain")
+    # fixed values: the reasons' texts
     reason = (
         F.when(supported, "reference_lexically_supported")
         .when(trusted, F.concat(F.lit("target_linked_rejection:"), how["stance_rule"]))

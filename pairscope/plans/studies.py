@@ -34,10 +34,7 @@ def evaluate_generations(generations: DataFrame) -> dict[str, DataFrame]:
     C.assert_empty(C.duplicate_keys(generations, ["image_id", "condition"]), "duplicate generations")
     rows = generations.withColumn("reference_first_line", T.first_line(F.col("reference_answer")))
     C.assert_empty(rows.where("reference_first_line IS NULL").select("image_id"), "empty references")
-    rows = T.with_words(rows, "reference_first_line", "generated_text")
-    conflict = F.col("condition").isin(*CONFLICTS)
-    fields = R.evaluation(F.col("reference_first_line"), F.col("generated_text"), conflict, F.col("ref_words"), F.col("pred_words"))
-    scored = rows.select("*", *_columns(fields)).drop("ref_words", "pred_words")
+    scored = R.scored(rows, "reference_first_line", "generated_text", F.col("condition").isin(*CONFLICTS))
     metrics = {"n": F.count(F.lit(1))}
     metrics |= {c: F.avg(F.col(c).cast("double")) for c in ("normalized_exact_match", "reference_contained", "token_precision", "token_recall", "token_f1", "rouge_l_f1")}
     metrics |= {s: F.count_if(F.col("stance") == s) for s in ("reject_premise", "ambiguous_rejection", "abstain_no_visual_input", "no_explicit_rejection", "empty")}
@@ -71,9 +68,7 @@ def _action_pairs(scored: DataFrame, key: str, values: list[str]) -> DataFrame:
 
 def evaluate_false_premise(predictions: DataFrame) -> dict[str, DataFrame]:
     """Predictions (haloquest_id, action, question, groundtruth_response, generated_text, image_type): verdicts, paired effects and rates."""
-    rows = T.with_words(predictions, "groundtruth_response", "generated_text")
-    found = R.false_premise_verdict(F.col("question"), F.col("groundtruth_response"), F.col("generated_text"), F.col("ref_words"), F.col("pred_words"))
-    scored = rows.select("*", *_columns(found)).drop("ref_words", "pred_words")
+    scored = R.judged(predictions, "question", "groundtruth_response", "generated_text")
     wide = _action_pairs(scored, "haloquest_id", ["utility"])
     pairs = wide.select("haloquest_id", F.col("utility_native_prompt").alias("before"), F.col("utility_premise_verification").alias("after")).withColumn("effect", R.effect_of_utilities(F.col("before"), F.col("after")))
     return {"scored": scored, "pairs": pairs, "actions": S.grouped(scored, [["action"], ["action", "image_type"]], S.verdicts(F.col("verdict"))), "effects": pairs.agg(*_columns(S.effects(F.col("effect"))))}
@@ -82,16 +77,16 @@ def evaluate_false_premise(predictions: DataFrame) -> dict[str, DataFrame]:
 def evaluate_control(predictions: DataFrame) -> dict[str, DataFrame]:
     """Predictions with several references, parted by semicolons (haloquest_id, action, hallucination_type, groundtruth_response,
     generated_text): the best overlap over references, paired changes, and the rows to audit."""
-    words = predictions.withColumn("__words", T.tokens(T.strip(F.col("generated_text")))).withColumn("__variants", F.transform(T.variants(F.col("groundtruth_response")), lambda v: T.tokens(v)))
-    best = words.select("*", S.best_of(F.col("__variants"), lambda v: T.lexical(v, F.col("__words"))["token_f1"]).alias("best_token_f1"), F.exists("__variants", lambda v: (F.size(v) > 0) & (v == F.col("__words"))).alias("any_exact"))
-    stance = T.stance(F.col("groundtruth_response"), F.col("generated_text"), F.col("__words"))["stance"]
-    scored = best.withColumn("rejection_stance", stance)
+    words = T.with_stance(T.with_words(predictions, "groundtruth_response", "generated_text"), "generated_text", "__").withColumnsRenamed({"pred_words": "__words", "__stance": "rejection_stance"})
+    words = words.withColumn("__variants", T.nfkc_each(T.variants(F.col("groundtruth_response")))).withColumn("__variants", F.transform("__variants", lambda v: T.tokens(v, unicode_form=False)))
+    scored = words.select("*", S.best_of(F.col("__variants"), lambda v: T.token_f1(v, F.col("__words"))).alias("best_token_f1"), F.exists("__variants", lambda v: (F.size(v) > 0) & (v == F.col("__words"))).alias("any_exact"))
+    scored = scored.drop("ref_words", *[f"__{n}" for n in T.STANCE_FIELDS])
     wide = _action_pairs(scored.withColumn("said", F.array_join("__words", " ")), "haloquest_id", ["best_token_f1", "rejection_stance", "said", "hallucination_type"])
     one, two = (F.split(F.col(f"said_{a}"), " ") for a in ACTIONS)
     rejects = [F.col(f"rejection_stance_{a}") == "reject_premise" for a in ACTIONS]
     pairs = wide.select(
         "haloquest_id", F.col("hallucination_type_native_prompt").alias("hallucination_type"), (F.col("best_token_f1_premise_verification") - F.col("best_token_f1_native_prompt")).alias("lexical_delta"),
-        T.lexical(one, two)["token_f1"].alias("response_token_f1"), (rejects[1] & ~rejects[0]).alias("new_target_linked_rejection"),
+        T.token_f1(one, two).alias("response_token_f1"), (rejects[1] & ~rejects[0]).alias("new_target_linked_rejection"),
     )
     pairs = pairs.withColumn("audit_candidate", R.audit_candidate(F.col("response_token_f1"), F.col("lexical_delta"), F.col("new_target_linked_rejection")))
     pairs = pairs.withColumn("in_audit_scope", R.audit_scope(F.col("hallucination_type"), F.col("lexical_delta"), F.col("new_target_linked_rejection")))

@@ -21,8 +21,6 @@ def _in(words) -> str:
 
 
 
-
-
 @query("F1_normalize_text", f"SELECT item_id, array_to_string({B.tokens_sql('text')}, ' ') AS normalized FROM benchmark")
 def f1(spark, sf):
     return B.table(spark, sf, "benchmark").select("item_id", T.normalized(F.col("text")).alias("normalized"))
@@ -99,8 +97,7 @@ STANCE_SQL = _stance_sql()
 
 def _stances(spark, sf):
     rows = T.with_words(B.generations(spark, sf), "reference", "prediction")
-    found = T.stance(F.col("reference"), F.col("prediction"), F.col("pred_words"), F.col("ref_words"))
-    return rows.select("*", *[c.alias("content_overlap" if n == "reference_content_overlap" else n) for n, c in found.items()])
+    return T.with_stance(rows, "prediction").withColumnRenamed("reference_content_overlap", "content_overlap")
 
 
 @query("F7_stance", B.with_sql("gen", f", {STANCE_SQL} SELECT image_id, condition, stance, stance_rule, stance_evidence, array_to_string(content_overlap, ' ') AS content_overlap FROM st"))
@@ -127,9 +124,7 @@ EVAL_SQL = f"""{STANCE_SQL}, ev AS (SELECT image_id, condition, conflict_type, r
 
 
 def _evaluated(spark, sf):
-    rows = T.with_words(B.generations(spark, sf), "reference", "prediction")
-    fields = R.evaluation(F.col("reference"), F.col("prediction"), F.col("condition") != "multimodal_clean", F.col("ref_words"), F.col("pred_words"))
-    return rows.select("image_id", "condition", "conflict_type", *[c.alias(n) for n, c in fields.items()])
+    return R.scored(B.generations(spark, sf), "reference", "prediction", F.col("condition") != "multimodal_clean")
 
 
 @query(
@@ -150,9 +145,7 @@ VERDICT_SQL = f"""{EVAL_SQL}, vd AS (SELECT *, CASE WHEN lex OR trusted OR absen
 
 
 def _verdicts(spark, sf):
-    rows = T.with_words(B.generations(spark, sf), "reference", "prediction")
-    found = R.false_premise_verdict(F.col("question"), F.col("reference"), F.col("prediction"), F.col("ref_words"), F.col("pred_words"))
-    return rows.select("image_id", "condition", "conflict_type", *[c.alias(n) for n, c in found.items()])
+    return R.judged(B.generations(spark, sf), "question", "reference", "prediction")
 
 
 @query("F11_false_premise_verdict", B.with_sql("gen", f", {VERDICT_SQL} SELECT image_id, condition, verdict, verdict_reason, CASE verdict WHEN 'correct' THEN 1 WHEN 'incorrect' THEN 0 END AS utility FROM vd"))
@@ -161,8 +154,6 @@ def f11(spark, sf):
 
 
 
-
-
 @query("F12_reference_variants", "SELECT conv_id, turn, array_to_string(CASE WHEN len(v) > 0 THEN v ELSE [t] END, '|') AS variants, len(CASE WHEN len(v) > 0 THEN v ELSE [t] END)::BIGINT AS n_variants FROM (SELECT conv_id, turn, t, list_filter(list_transform(string_split(t, ';'), lambda x: trim(x)), lambda x: x <> '') AS v FROM (SELECT conv_id, turn, replace(replace(text, ', ', '; '), chr(10), ' ') AS t FROM conversations))")
 def f12(spark, sf):
     text = F.replace(F.replace(F.col("text"), F.lit(", "), F.lit("; ")), F.lit("\n"), F.lit(" "))
@@ -231,8 +222,6 @@ def f17(spark, sf):
 
 
 
-
-
 @query("F18_official_accuracy", B.with_sql("answers", f"SELECT question_id, round(list_avg(list_transform(range(1, len(g) + 1), lambda i: least(1.0, len(list_filter(range(1, len(g) + 1), lambda j: j <> i AND g[j] = p)) / 3.0))), 6) AS accuracy FROM (SELECT question_id, CASE WHEN d THEN list_transform(answers, lambda p: {NORMAL_SQL}) ELSE answers END AS g, CASE WHEN d THEN {NORMAL_SQL} ELSE p END AS p FROM (SELECT *, len(list_distinct(answers)) > 1 AS d, majority AS p FROM answers))"))
 def f18(spark, sf):
     return B.answers(spark, sf).select("question_id", r6(T.official_accuracy(F.col("majority"), F.col("answers"))).alias("accuracy"))

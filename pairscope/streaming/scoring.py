@@ -16,10 +16,8 @@ def arriving(spark: SparkSession, folder: str, schema: str, files_per_batch: int
 
 def scored(generations: DataFrame) -> DataFrame:
     """Stateless scoring, the same expressions as in batch."""
-    rows = T.with_words(generations.withColumn("reference_first_line", T.first_line(F.col("reference_answer"))), "reference_first_line", "generated_text")
-    conflict = F.col("condition").isin("multimodal_conflict", "text_only_conflict")
-    fields = R.evaluation(F.col("reference_first_line"), F.col("generated_text"), conflict, F.col("ref_words"), F.col("pred_words"))
-    return rows.select("*", *[c.alias(n) for n, c in fields.items()]).drop("ref_words", "pred_words")
+    rows = generations.withColumn("reference_first_line", T.first_line(F.col("reference_answer")))
+    return R.scored(rows, "reference_first_line", "generated_text", F.col("condition").isin("multimodal_conflict", "text_only_conflict"))
 
 
 def score_folder(spark: SparkSession, folder: str, schema: str, output: str, checkpoint: str, once: bool = True) -> StreamingQuery:

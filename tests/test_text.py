@@ -14,12 +14,14 @@ def one(spark, **columns):
 
 
 def stance(spark, reference, prediction):
-    return one(spark, **T.stance(F.lit(reference), F.lit(prediction)))
+    rows = spark.createDataFrame([(reference, prediction)], "reference string, prediction string")
+    return T.with_stance(T.with_words(rows, "reference", "prediction"), "prediction").first()
 
 
 def test_normalize(spark):
     assert one(spark, x=T.normalized(F.lit("1. The image does not contain two chairs!"))).x == "image does not contain 2 chairs"
-    assert one(spark, x=T.normalized(F.lit("don’t ﬁx"), unicode_form=True)).x == "don t fix"
+    assert one(spark, x=T.normalized(F.lit("don’t ﬁx"))).x == "don t fix"
+    assert one(spark, x=T.normalized(F.lit("ﬁve ２ Café"))).x == "5 2 café"
     assert one(spark, x=T.normalized(F.lit(""))).x == ""
 
 
@@ -40,6 +42,41 @@ def test_lcs(spark, a, b, n):
     assert one(spark, x=T.lcs(F.split(F.lit(a), "") if a else F.array().cast("array<string>"), F.split(F.lit(b), ""))).x == n
 
 
+def test_normal_forms_of_a_table(spark):
+    """Composed, full-width, ligature and superscript texts beside ASCII ones and nulls, as the standard library has them."""
+    import unicodedata
+
+    texts = ["plain text", None, "", "Café au lait", "Ｆｕｌｌ　ｗｉｄｔｈ １２", "ﬁne ﬂow", "x² ½", "ẛ̣", "Ⅷ ㎏", "한글", "é é", "；a；"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.x for r in rows.select("i", T.nfkc(F.col("t")).alias("x")).collect()}
+    assert got == {i: None if t is None else unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
+    lists = spark.createDataFrame([(0, texts[3:6] + [None]), (1, None), (2, []), (3, ["a", "b"]), (4, texts[6:])], "i int, t array<string>")
+    got = {r.i: r.x for r in lists.select("i", T.nfkc_each(F.col("t")).alias("x")).collect()}
+    normal = lambda xs: [None if x is None else unicodedata.normalize("NFKC", x) for x in xs]
+    assert got == {0: normal(texts[3:6] + [None]), 1: None, 2: [], 3: ["a", "b"], 4: normal(texts[6:])}
+
+
+def test_lcs_and_shared_tokens_match_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng, cases = random.Random(6), []
+    for n in [0, 1, 2, 5, 70, 130, 300]:
+        for m in [0, 1, 3, 64, 65, 200]:
+            cases.append(([rng.choice("abcdefg") for _ in range(n)], [rng.choice("abcdefgh") for _ in range(m)]))
+    cases += [(None, ["a"]), (["a"], None)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(cases)], "i int, a array<string>, b array<string>")
+    for r in rows.select("i", T.lcs(F.col("a"), F.col("b")).alias("n"), T.shared_tokens(F.col("a"), F.col("b")).alias("m")).collect():
+        a, b = cases[r.i]
+        line = [0] * (len(b or []) + 1)
+        for x in a or []:
+            line = [0] + [max(line[j + 1], 0) if x != y else line[j] + 1 for j, y in enumerate(b or [])]
+            line = [max(line[: j + 1]) for j in range(len(line))]
+        assert r.n == line[-1], r.i
+        if a is not None and b is not None:
+            assert r.m == sum((Counter(a) & Counter(b)).values())
+
+
 @pytest.mark.parametrize("word, stemmed", [("berries", "berry"), ("boxes", "box"), ("cats", "cat"), ("bus", "bus"), ("churches", "church"), ("ties", "tie")])
 def test_stem(spark, word, stemmed):
     assert one(spark, x=T.stem(F.lit(word))).x == stemmed
@@ -79,7 +116,7 @@ def test_stance_overlap(spark):
     ],
 )
 def test_clean_rows(spark, reference, prediction, review, reason):
-    row = one(spark, **R.evaluation(F.lit(reference), F.lit(prediction), F.lit(False)))
+    row = R.scored(spark.createDataFrame([(reference, prediction)], "reference string, prediction string"), "reference", "prediction", F.lit(False)).first()
     assert row.manual_review_required == review and row.manual_review_reason == reason and row.stance == "not_applicable"
 
 
@@ -93,7 +130,8 @@ def test_clean_rows(spark, reference, prediction, review, reason):
     ],
 )
 def test_false_premise_verdict(spark, question, reference, prediction, verdict, utility):
-    row = one(spark, **R.false_premise_verdict(F.lit(question), F.lit(reference), F.lit(prediction)))
+    rows = spark.createDataFrame([(question, reference, prediction)], "question string, reference string, prediction string")
+    row = R.judged(rows, "question", "reference", "prediction").first()
     assert (row.verdict, row.utility) == (verdict, utility)
 
 
