@@ -49,19 +49,33 @@ def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def upsert(base: DataFrame, changes: DataFrame, keys: str | list[str], columns: list[str]) -> DataFrame:
     """base with the values of changes where those aren't NULL. A value that base holds already and that differs is an error."""
-    renamed = changes.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
-    joined = base.join(renamed, key, "left")
+    keys = [keys] if isinstance(keys, str) else keys
+    renamed = changes.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns])
+    joined = base.join(renamed, keys, "left")
     conflict = None
     for c in columns:
         own = F.col(c).isNotNull() & F.col(f"__{c}").isNotNull() & (F.col(c) != F.col(f"__{c}"))
         conflict = own if conflict is None else conflict | own
-    C.assert_empty(joined.where(conflict).select(key), "confirmed labels disagree")
+    C.assert_empty(joined.where(conflict).select(*keys), "confirmed labels disagree")
     merged = [F.coalesce(c, f"__{c}").alias(c) if c in columns else F.col(c) for c in base.columns]
     return joined.select(*merged)
 
 
+def audited(manifest: DataFrame, predictions: DataFrame, audit: DataFrame, key: str, candidate: str, accepted: list[str]) -> DataFrame:
+    """Audited rows (label, key) of accepted labels with their manifest row and prediction. An id in two groups, a missing
+    row on either side and an empty candidate are errors."""
+    C.assert_empty(C.duplicate_keys(audit, [key]), "audited twice")
+    asked = audit.where(F.col("label").isin(accepted))
+    for name, side in (("manifest row", manifest), ("prediction", predictions)):
+        C.assert_empty(C.duplicate_keys(side.join(asked.select(key), key, "left_semi"), [key]), f"more than one {name}")
+        C.assert_empty(asked.join(side, key, "left_anti").select(key, "label"), f"audited without a {name}")
+    joined = asked.join(manifest, key).join(predictions, key)
+    C.assert_empty(joined.where(F.trim(candidate) == "").select(key), "empty candidates")
+    return joined
+
+
 def without_shared_groups(source: DataFrame, target: DataFrame, group: str) -> DataFrame:
     """Source rows whose group isn't in target."""
     return source.join(target.select(group).distinct(), group, "left_anti")

@@ -99,3 +99,12 @@ def overwritten(existing: DataFrame, incoming: DataFrame, key: str, column: str)
     new = incoming.select(key, F.col(column).alias("incoming"))
     held = existing.where(F.trim(F.coalesce(F.col(column), F.lit(""))) != "")
     return held.join(new, key).where(~F.col(column).eqNullSafe(F.col("incoming"))).select(key, column, "incoming")
+
+
+def audit_scope(audit: DataFrame, label: str, key: str, known: DataFrame, expected: DataFrame) -> DataFrame:
+    """What is wrong with an audit of rows (label, key): keys in several groups, keys that known lacks, expected keys that it misses, and extra ones."""
+    groups = audit.groupBy(key).agg(F.count_distinct(label).alias("n_groups"))
+    several = groups.where("n_groups > 1").select(key, F.lit("several groups").alias("problem"))
+    unknown = groups.join(known.select(key).distinct(), key, "left_anti").select(key, F.lit("unknown").alias("problem"))
+    scope = key_set_difference(expected, groups, [key])
+    return several.unionByName(unknown).unionByName(scope.select(key, F.when(F.col("side") == "left", "missing").otherwise("extra").alias("problem")))

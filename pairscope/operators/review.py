@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairscope.functions import text as T
 from pairscope.functions import vocabulary as V
+from pairscope.operators import contracts as C
 
 # fixed values: the labels' domains
 SEMANTIC = ("yes", "no", "uncertain", "n/a")
@@ -71,6 +72,34 @@ def confirm(df: DataFrame, rule: Column) -> DataFrame:
     return df.withColumn("changed", changed).withColumn("human_confirmation", F.when(F.col("changed"), "accept").otherwise(F.col("human_confirmation")))
 
 
+def confirm_checked(df: DataFrame, rule: Column, note: str, complete: list[str] | None = None) -> DataFrame:
+    """As confirm, with a note on the rows that change. A person's edit, an unknown confirmation and an incomplete suggestion within rule are errors."""
+    said = label("human_confirmation")
+    C.assert_empty(df.where(~said.isin("", *CONFIRMATIONS)), "unknown confirmations")
+    C.assert_empty(df.where(rule & (said == "edit")), "an edit would be overwritten")
+    for c in complete or []:
+        C.assert_empty(df.where(rule & (said == "") & (label(c) == "")), f"incomplete suggestions: {c}")
+    done = confirm(df, rule)
+    if "human_notes" in df.columns:
+        done = done.withColumn("human_notes", F.when(F.col("changed"), note).otherwise(F.col("human_notes")))
+    return done
+
+
+def by_id_sets(key: Column, sets: dict[str, list[int]], default: str) -> Column:
+    """The name of the set that holds key, the first one named, else default."""
+    out = None
+    for name, ids in sets.items():
+        out = F.when(key.isin(ids), name) if out is None else out.when(key.isin(ids), name)
+    return out.otherwise(default)
+
+
+def default_note(semantic: Column, how: Column, condition: Column, notes: dict[str, str]) -> Column:
+    """The note that a suggestion gets: of notes those for an explicit rejection, another right answer, a wrong one, and clean rows right or wrong."""
+    clean = F.when(semantic == "yes", notes["clean_right"]).otherwise(notes["clean_wrong"])
+    conflict = F.when((semantic == "yes") & (how == "reject_premise"), notes["rejects"]).when(semantic == "yes", notes["right"]).otherwise(notes["wrong"])
+    return F.when(condition == "multimodal_clean", clean).when(condition == "multimodal_conflict", conflict).otherwise("")
+
+
 def split_decided(df: DataFrame, column: str) -> DataFrame:
     """Rows with a status: kept where the label is yes or no, else excluded with a reason."""
     value = label(column)

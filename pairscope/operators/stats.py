@@ -62,18 +62,48 @@ def draw(seed: Column | str | int, replicate: Column, place: Column, n: Column)
 def resampled(df: DataFrame, order: list[str], seed: int, replicates: int, by: list[str]) -> DataFrame:
     """Bootstrap samples with replacement within each group of by: replicate, then df's columns.
 
-    Rows are numbered per group by order; each (replicate, place) draws a number and joins its row."""
+    Rows are numbered per group by order. Each row makes the draws of its own place, one a replicate, so draws are
+    spread as the rows are; a draw then joins the row that it fell on."""
     rows = numbered(df, by, order).withColumnRenamed("row_idx", "__i")
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    draws = sizes.select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    draws = draws.select(*by, "replicate", "__n", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)).alias("__place"))
+    if by:
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+        placed = rows.select(*by, F.col("__i").alias("__place")).join(sizes, by)
+    else:
+        placed = rows.select(F.col("__i").alias("__place")).withColumn("__n", F.lit(rows.count()))
     where = F.concat_ws("|", F.lit(str(seed)), *[F.col(b).cast("string") for b in by])
+    draws = placed.select(*by, "__place", "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = draws.select(*by, "replicate", draw(where, F.col("replicate"), F.col("__place"), F.col("__n")).alias("__i"))
     return drawn.join(rows, [*by, "__i"]).drop("__i")
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """Per group the quantiles of value, interpolated between neighbours, as columns named by shares. NULLs don't count.
+
+    From row numbers, so no task holds a group's values; the aggregate functions are for groups of bounded size."""
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    rows = numbered(own, by, ["__v"])
+    if by:
+        rows = rows.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")), by)
+    else:
+        rows = rows.withColumn("__n", F.lit(rows.count()))
+    cells, wanted = [], F.lit(False)
+    for name, share in shares.items():
+        at = (F.col("__n") - 1) * F.lit(float(share))
+        part = at - F.floor(at)
+        low, high = F.col("row_idx") == F.floor(at), F.col("row_idx") == F.ceil(at)
+        wanted = wanted | low | high
+        ends = [F.max(F.when(x, F.col("__v"))) for x in (low, high)]
+        cells.append((ends[0] + (ends[1] - ends[0]) * F.max(part)).alias(name))
+    return rows.where(wanted).groupBy(*by).agg(*cells)
+
+
+def one_class(label: str) -> Column:
+    """Whether all rows of a group have one label, so that ranking them means nothing."""
+    return F.bool_and(label) | F.bool_and(~F.col(label))
+
+
 def interval(df: DataFrame, value: str, by: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Percentile interval of replicates' values; replicates where the value is undefined are skipped and not counted."""
+    """Percentile interval of replicates' values, of which there are as many as were asked for; those where the value is undefined are skipped and not counted."""
     return df.groupBy(*by).agg(F.count(value).alias("valid_resamples"), F.percentile(value, low).alias("ci_low"), F.percentile(value, high).alias("ci_high"))
 
 
@@ -84,17 +114,47 @@ def group_draws(df: DataFrame, group: str, seed: int, replicates: int) -> DataFr
     return drawn.join(df, group)
 
 
+def metric_intervals(drawn: DataFrame, score: str, label: str | None, by: list[str]) -> DataFrame:
+    """Intervals over the replicates of drawn (replicate, score, label): metric, valid_resamples, ci_low, ci_high, per group of by.
+
+    The mean; with a boolean label also auroc and average_precision, which skip replicates of one class."""
+    keys = [*by, "replicate"]
+    found = drawn.groupBy(*keys).agg(F.avg(score).alias("value")).select(*keys, F.lit("mean").alias("metric"), "value")
+    if label is not None:
+        mixed = drawn.join(drawn.groupBy(*keys).agg(one_class(label).alias("__one")).where("NOT __one").drop("__one"), keys)
+        for name, function in (("auroc", auroc), ("average_precision", average_precision)):
+            found = found.unionByName(function(mixed, score, label, keys).select(*keys, F.lit(name).alias("metric"), F.col(name).alias("value")))
+    return interval(found, "value", [*by, "metric"])
+
+
+def paired_intervals(drawn: DataFrame, first: str, second: str, label: str | None, by: list[str]) -> DataFrame:
+    """As metric_intervals, of the difference first - second of two scores on the same draws: of the mean, and with a label of auroc."""
+    keys = [*by, "replicate"]
+    found = drawn.groupBy(*keys).agg(F.avg(F.col(first) - F.col(second)).alias("value")).select(*keys, F.lit("mean").alias("metric"), "value")
+    if label is not None:
+        a, b = (auroc(drawn, x, label, keys).select(*keys, F.col("auroc").alias(n)) for x, n in ((first, "__a"), (second, "__b")))
+        found = found.unionByName(a.join(b, keys).select(*keys, F.lit("auroc").alias("metric"), (F.col("__a") - F.col("__b")).alias("value")))
+    return interval(found, "value", [*by, "metric"])
+
+
 def unpivoted(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
     return df.unpivot(keep, features, "feature", "value")
 
 
+def alignment(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """How a score goes with a binary label: auroc with the classes' sizes, and the classes' mean scores."""
+    y = F.col(label)
+    means = df.where(y.isNotNull()).groupBy(*by).agg(F.avg(F.when(y, F.col(score))).alias("mean_positive"), F.avg(F.when(~y, F.col(score))).alias("mean_negative"))
+    return auroc(df, score, label, by).join(means, by)
+
+
 def describe(value: Column) -> dict[str, Column]:
-    """Count, mean, median, population deviation and range."""
+    """Count, mean, median, population deviation and range. The median holds a group's distinct values; :func:`quantiles` doesn't."""
     return {"n": F.count(value), "mean": F.avg(value), "median": F.median(value), "std_pop": F.stddev_pop(value), "low": F.min(value), "high": F.max(value)}
 
 
 def distribution(value: Column) -> dict[str, Column]:
-    """Mean, sample deviation, quartiles and range."""
+    """Mean, sample deviation, quartiles and range. Quartiles hold a group's distinct values; :func:`quantiles` doesn't."""
     return {"mean": F.avg(value), "std_samp": F.stddev_samp(value), "median": F.median(value), "q25": F.percentile(value, 0.25), "q75": F.percentile(value, 0.75), "low": F.min(value), "high": F.max(value)}
 
 

@@ -72,9 +72,13 @@ def best_of(array: Column, metric) -> Column:
     return F.array_max(F.transform(array, metric))
 
 
-def coverage(available: Column, key: Column) -> dict[str, Column]:
-    failed = F.sort_array(F.collect_list(F.when(~available, key)))
-    return {"n": F.count(F.lit(1)), "available": F.count_if(available), "coverage": rate(F.count_if(available), F.count(F.lit(1))), "failed": F.array_join(failed.cast("array<string>"), ",")}
+def coverage(available: Column) -> dict[str, Column]:
+    return {"n": F.count(F.lit(1)), "available": F.count_if(available), "coverage": rate(F.count_if(available), F.count(F.lit(1)))}
+
+
+def failed(df: DataFrame, available: Column, key: str, by: list[str]) -> DataFrame:
+    """The keys that coverage() misses, a row each, sorted within their groups."""
+    return df.where(~F.coalesce(available, F.lit(False))).select(*by, key).orderBy(*by, key)
 
 
 def filled_categories(df: DataFrame, column: str, categories: list[str], metrics: dict[str, Column]) -> DataFrame:
@@ -92,3 +96,7 @@ def with_and_without(df: DataFrame, excluded: Column, metrics: dict[str, Column]
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+def any_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)

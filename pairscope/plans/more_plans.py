@@ -50,11 +50,13 @@ def s11(spark, sf):
     return spark.createDataFrame([(found["n"], found["langs"])], "n long, langs long")
 
 
-@query("S13_missing_files", "SELECT 'absent.parquet' AS file")
+@query("S13_missing_files", "SELECT 'n_regionkey=' || (r_regionkey + 2) AS folder FROM region WHERE r_regionkey + 2 NOT IN (SELECT n_regionkey FROM nation)")
 def s13(spark, sf):
-    wanted = spark.createDataFrame([("benchmark.parquet",), ("absent.parquet",)], "file string")
-    there = io.file_digests(spark, f"{sf}/benchmark.parquet").select(F.regexp_extract("file", r"([^/]+\.parquet)(/[^/]*)?$", 1).alias("file"))
-    return wanted.join(there, "file", "left_anti")
+    path = io.scratch(spark, "files")
+    B.table(spark, sf, "nation").write.partitionBy("n_regionkey").parquet(path)
+    there = io.listed(spark, path).select(F.regexp_extract("file", r"(n_regionkey=\d+)/[^/]+\.parquet$", 1).alias("folder"))
+    wanted = B.table(spark, sf, "region").select(F.concat(F.lit("n_regionkey="), (F.col("r_regionkey") + 2).cast("string")).alias("folder"))
+    return wanted.join(there, "folder", "left_anti")
 
 
 @query("P10_native_prompt", B.with_sql("qa", "SELECT image_id, md5(trim(question)) AS prompt FROM qa"))
@@ -84,43 +86,46 @@ def o6(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", "source").orderBy("source", "doc_id")
 
 
-def _arrays(spark, sf, features=("score", "probability")):
-    rows = M._table(B.labeled(spark, sf), M.Study({"x": features}, group="image_hash"))
-    return rows, rows[list(features)].to_numpy(dtype=float), rows["target"].to_numpy(dtype=int), rows["image_hash"].to_numpy()
+PAIR = ("score", "probability")
 
 
 @query("M4_logistic_fit")
 def m4(spark, sf):
-    _, x, y, _ = _arrays(spark, sf)
-    w = M.fit(M._scaled(x)[0], y, 1.0)
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(("score", "probability", "intercept"), w, strict=True)], "term string, weight double")
+    return M.fitted(B.labeled(spark, sf), PAIR, "target", "id", "id", 1.0)
 
 
 @query("M6_stratified_oof")
 def m6(spark, sf):
-    rows, x, y, _ = _arrays(spark, sf)
-    p = M.oof(x, y, rows["id"].to_numpy(), 3, 1, 1.0)  # each row is a group of its own
-    return spark.createDataFrame([(int(i), float(v)) for i, v in zip(rows["id"], p, strict=True)], "id long, probability double")
+    return M.out_of_fold(B.labeled(spark, sf), PAIR, "target", "id", "id", 3, 1, 1.0).select("id", "probability")
 
 
-@query("M7_group_folds", B.with_sql("labeled", "SELECT count(*) AS n_rows, count(DISTINCT image_hash) AS n_groups, 0 AS split_groups FROM labeled").replace("0 AS split_groups", "0::BIGINT AS split_groups"))
+@query("M6_stratified_folds", B.with_sql("labeled", "SELECT count(*) AS n_rows, 3::BIGINT AS n_folds, true AS classes_even FROM labeled"))
+def m6_folds(spark, sf):
+    rows = B.labeled(spark, sf)
+    folds = rows.join(M.fold_groups(rows, "id", "target", 3, [1]), "id").withColumn("fold", F.get("folds", 0))
+    per = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_if("target").alias("p"))
+    even = (F.max("p") - F.min("p") <= 1) & (F.max(F.col("n") - F.col("p")) - F.min(F.col("n") - F.col("p")) <= 1)
+    return per.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_folds"), even.alias("classes_even"))
+
+
+@query("M7_group_folds", B.with_sql("labeled", """SELECT count(*) AS n_rows, count(DISTINCT image_hash) AS n_groups, 0::BIGINT AS split_groups, 3::BIGINT AS n_folds, count(*) FILTER (target) AS n_positive, true AS both_classes FROM labeled"""))
 def m7(spark, sf):
-    rows, _, y, groups = _arrays(spark, sf)
-    df = spark.createDataFrame([(g, int(f)) for g, f in zip(groups, M.group_folds(y, groups, 3, 1), strict=True)], "g string, fold int")
-    per = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"))
-    return per.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("folds") > 1).alias("split_groups"))
+    rows = B.labeled(spark, sf)
+    folds = rows.join(M.fold_groups(rows, "image_hash", "target", 3, [1]), "image_hash").withColumn("fold", F.get("folds", 0))
+    per = folds.groupBy("image_hash").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("parts"), F.count_if("target").alias("p"), F.min("fold").alias("fold"))
+    held = per.groupBy("fold").agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("parts") > 1).alias("split"))
+    rest_p, rest_n = F.sum("p") - F.max("p"), F.sum(F.col("n") - F.col("p")) - F.max(F.col("n") - F.col("p"))  # of the training part with the fewest
+    return held.agg(F.sum("n").alias("n_rows"), F.sum("groups").alias("n_groups"), F.sum("split").alias("split_groups"), F.count(F.lit(1)).alias("n_folds"), F.sum("p").alias("n_positive"), ((rest_p > 0) & (rest_n > 0)).alias("both_classes"))
 
 
 @query("M8_grouped_oof")
 def m8(spark, sf):
-    rows, x, y, groups = _arrays(spark, sf)
-    return spark.createDataFrame([(int(i), float(v)) for i, v in zip(rows["id"], M.oof(x, y, groups, 3, 1, 1.0), strict=True)], "id long, probability double")
+    return M.out_of_fold(B.labeled(spark, sf), PAIR, "target", "image_hash", "id", 3, 1, 1.0).select("id", "probability")
 
 
 @query("M9_best_penalty")
 def m9(spark, sf):
-    _, x, y, groups = _arrays(spark, sf)
-    return spark.createDataFrame([(float(M.best_penalty(x, y, groups, P.STUDY, 1)),)], "penalty double")
+    return M.chosen_penalty(M.penalty_scores(B.labeled(spark, sf), P.STUDY, "both", 1))
 
 
 @query("M11_frozen_selector")

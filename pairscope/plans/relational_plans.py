@@ -38,13 +38,14 @@ def s6(spark, sf):
     return io.delimited(B.qa(spark, sf).select("image_id", T.content_tokens(F.col("ref_words")).alias("delimited")))
 
 
-@query("S7_json_document", "SELECT image_id, condition, count(*) AS n FROM (SELECT user_id AS image_id, event_type AS condition FROM events) GROUP BY ALL")
+@query("S7_json_document", "SELECT n_regionkey AS region, n_nationkey AS id, n_name AS name FROM nation")
 def s7(spark, sf):
     path = io.scratch(spark, "document")
-    rows = B.table(spark, sf, "events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("user_id").alias("image_id"), F.col("event_type").alias("condition"))).alias("annotations"))
-    rows.write.json(path)
-    kind = "annotations array<struct<image_id:bigint,condition:string>>"
-    return io.read_json_document(spark, path, kind, "annotations", by_line=True).groupBy("image_id", "condition").agg(F.count(F.lit(1)).alias("n"))
+    rows = B.table(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("annotations"))
+    document = F.to_json(F.struct(F.struct(F.lit("v1").alias("version")).alias("info"), F.col("annotations")), {"pretty": "true"})
+    rows.select(document.alias("value")).write.option("maxRecordsPerFile", 1).text(path)  # a document of many lines in each file
+    kind = "info struct<version:string>, annotations array<struct<id:bigint,name:string,region:bigint>>"
+    return io.read_json_document(spark, path, kind, "annotations").select("region", "id", "name")
 
 
 @query("S8_row_index", "SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS row_idx FROM benchmark")
@@ -52,15 +53,23 @@ def s8(spark, sf):
     return numbered(B.table(spark, sf, "benchmark").select("item_id"), [], ["item_id"])
 
 
-@query("S9_resume", "SELECT conv_id, turn FROM conversations WHERE role <> 'system'")
+@query("S9_resume", "SELECT conv_id, turn, 2::BIGINT AS runs FROM conversations")
 def s9(spark, sf):
-    rows = B.table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return io.pending(rows, rows.where("role = 'system'"), ["conv_id", "turn"]).select("conv_id", "turn")
+    rows, path = B.table(spark, sf, "conversations").select("conv_id", "turn", "role"), io.scratch(spark, "resumed")
+    first = io.append_new(rows.where("role = 'assistant'").withColumn("run", F.lit(1)), path, ["conv_id", "turn"])
+    second = io.append_new(rows.withColumn("run", F.lit(2)), path, ["conv_id", "turn"])
+    again = io.append_new(rows.withColumn("run", F.lit(3)), path, ["conv_id", "turn"])
+    done = spark.read.parquet(path)
+    return done.select("conv_id", "turn", F.lit((first > 0) + (second > 0) + (again > 0)).cast("long").alias("runs"))
 
 
-@query("S12_file_digest", "SELECT count(*)::BIGINT AS n_files, true AS whole FROM (SELECT 1)")
+@query("S12_file_digest", "SELECT sha256(string_agg(text || chr(10), '' ORDER BY item_id)) AS sha256, sum(strlen(text) + 1)::BIGINT AS length, false AS pinned FROM benchmark")
 def s12(spark, sf):
-    return io.file_digests(spark, f"{sf}/benchmark.parquet").agg(F.count_distinct("file").alias("n_files"), (F.min(F.char_length("sha256")) == 64).alias("whole"))
+    path = io.scratch(spark, "digest")
+    B.table(spark, sf, "benchmark").coalesce(1).sortWithinPartitions("item_id").select("text").write.text(path)  # one file, as it is one that is hashed
+    found = io.file_digests(spark, path).where(F.endswith("file", F.lit(".txt")))
+    wrong = io.unpinned(found, {"absent.txt": "00"}).select(F.lit(False).alias("pinned"))
+    return found.select("sha256", "length").join(wrong.limit(1), how="left")
 
 
 @query("S15_count_pins", "SELECT lang, n_rows, expected FROM (SELECT lang, count(*) AS n_rows, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 0 END AS expected FROM documents GROUP BY lang) WHERE n_rows <> expected UNION ALL SELECT 'xx', 0, 5")
@@ -125,10 +134,14 @@ def p11(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.md5(T.first_line(F.col("text"))).alias("first_line"))
 
 
-@query("P12_text_or_json", "SELECT image_id, CASE WHEN image_id % 2 = 0 THEN '' ELSE condition END AS cell FROM (SELECT user_id AS image_id, event_type AS condition FROM events GROUP BY ALL)")
+@query("P12_text_or_json", """SELECT image_id, CASE WHEN image_id % 2 = 0 THEN '' ELSE condition END AS said, image_id::VARCHAR AS number, '["' || condition || '", ' || CASE WHEN image_id % 3 = 0 THEN 'null' ELSE '"a\\"b"' END || ']' AS list, CASE WHEN image_id % 2 = 0 THEN 'true' ELSE 'false' END AS flag, '{"kind": "' || conflict_type || '", "ids": [' || image_id || ']}' AS whole
+FROM (SELECT user_id AS image_id, event_type AS condition, CASE WHEN user_id % 2 = 0 THEN 'object' ELSE 'relation' END AS conflict_type FROM events GROUP BY ALL)""")
 def p12(spark, sf):
-    rows = B.scores(spark, sf)
-    return rows.select("image_id", io.cell(F.when(F.col("image_id") % 2 != 0, F.col("condition"))).alias("cell"))
+    rows = B.scores(spark, sf).select(
+        "image_id", F.when(F.col("image_id") % 2 != 0, F.col("condition")).alias("said"), F.col("image_id").alias("number"),
+        F.array("condition", F.when(F.col("image_id") % 3 != 0, 'a"b')).alias("list"), (F.col("image_id") % 2 == 0).alias("flag"), F.struct(F.col("conflict_type").alias("kind"), F.array("image_id").alias("ids")).alias("whole"),
+    )
+    return rows.select("image_id", *[io.text_or_json(rows, c).alias(c) for c in rows.columns[1:]])
 
 
 @query("P13_metadata_columns", "SELECT item_id, 'v1' AS protocol FROM benchmark")
@@ -142,10 +155,16 @@ def p14(spark, sf):
     return S.histogram(raw.select(R.label("raw").alias("label")), "label")
 
 
-@query("P16_evaluate_answers", B.with_sql("answers", f"SELECT question_id, round(list_avg(list_transform(range(1, len(answers) + 1), lambda i: least(1.0, len(list_filter(range(1, len(answers) + 1), lambda j: j <> i AND answers[j] = majority)) / 3.0))), 6) AS accuracy, regexp_matches(majority, '(?i)not shown') AS refusal FROM answers"))
+def _leave_one_out_sql(p: str, g: str) -> str:
+    return f"round(list_avg(list_transform(range(1, len({g}) + 1), lambda i: least(1.0, len(list_filter(range(1, len({g}) + 1), lambda j: j <> i AND {g}[j] = {p})) / 3.0))), 6)"
+
+
+@query("P16_evaluate_answers", B.with_sql("answers", f"""SELECT question_id, 'v1' AS protocol, {_leave_one_out_sql('CASE WHEN d THEN np ELSE majority END', 'CASE WHEN d THEN ng ELSE answers END')} AS accuracy, {_leave_one_out_sql('np', 'ng')} AS normalized_accuracy, regexp_matches(majority, '(?i)not shown') AS refusal
+FROM (SELECT *, len(list_distinct(answers)) > 1 AS d, list_transform(answers, lambda p: {P.NORMAL_SQL}) AS ng, {P.NORMAL_SQL} AS np FROM (SELECT *, majority AS p FROM answers))"""))
 def p16(spark, sf):
     rows = B.answers(spark, sf)
-    return rows.select("question_id", r6(T.official_accuracy(F.col("majority"), F.col("answers"))).alias("accuracy"), T.generic_refusal(F.col("majority")).alias("refusal"))
+    said, answers = F.col("majority"), F.col("answers")
+    return rows.select("question_id", F.lit("v1").alias("protocol"), r6(T.official_accuracy(said, answers)).alias("accuracy"), r6(T.normalized_accuracy(said, answers)).alias("normalized_accuracy"), T.generic_refusal(said).alias("refusal"))
 
 
 @query("P17_scope", B.with_sql("labeled", "SELECT 'pooled' AS scope, count(*) AS n FROM labeled UNION ALL SELECT 'fr', count(*) FROM labeled WHERE stratum = 'fr'"))
@@ -224,10 +243,14 @@ def v9(spark, sf):
     return C.partial_groups(rows, ["c2", "c3", "c5"]).select("doc_id", "filled")
 
 
-@query("V10_audit_scope", "SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM labels WHERE quality = 1) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0) UNION ALL SELECT doc_id, 'right' FROM labels WHERE toxic = 0 AND quality <> 1")
+@query("V10_audit_scope", """WITH a AS (SELECT doc_id, 'good' AS label FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'clean' FROM labels WHERE toxic = 0 AND doc_id % 5 = 0), g AS (SELECT doc_id, count(DISTINCT label) AS n FROM a GROUP BY doc_id),
+x AS (SELECT doc_id FROM labels WHERE quality = 1 OR doc_id % 10 = 3) SELECT doc_id, 'several groups' AS problem FROM g WHERE n > 1 UNION ALL SELECT doc_id, 'unknown' FROM g WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 50 <> 1)
+UNION ALL SELECT doc_id, 'missing' FROM x WHERE doc_id NOT IN (SELECT doc_id FROM g) UNION ALL SELECT doc_id, 'extra' FROM g WHERE doc_id NOT IN (SELECT doc_id FROM x)""")
 def v10(spark, sf):
     labels = B.table(spark, sf, "labels")
-    return C.key_set_difference(labels.where("quality = 1"), labels.where("toxic = 0"), ["doc_id"])
+    audit = labels.where("quality = 1").select("doc_id", F.lit("good").alias("label")).unionByName(labels.where("toxic = 0 AND doc_id % 5 = 0").select("doc_id", F.lit("clean").alias("label")))
+    known, expected = B.table(spark, sf, "documents").where("doc_id % 50 <> 1"), labels.where("quality = 1 OR doc_id % 10 = 3")
+    return C.audit_scope(audit, "label", "doc_id", known, expected)
 
 
 @query("V11_functional", "SELECT text_hash, count(DISTINCT source) AS n_values FROM (SELECT md5(text) AS text_hash, source FROM documents) GROUP BY ALL HAVING count(DISTINCT source) > 1")
@@ -306,11 +329,15 @@ def j6(spark, sf):
     return _actions(spark, sf)
 
 
-@query("J7_audited_samples", B.with_sql("labeled", "SELECT id, effect AS label, stratum FROM labeled WHERE effect <> 'tie'"))
+@query("J7_audited_samples", B.with_sql("labeled", "SELECT id, effect AS label, stratum, source || ':' || score AS said FROM labeled WHERE effect <> 'tie'"))
 def j7(spark, sf):
     rows = B.labeled(spark, sf)
-    audit = rows.where("effect <> 'tie'").groupBy().agg(F.map_from_entries(F.array(*[F.struct(F.lit(e), F.sort_array(F.collect_list(F.when(F.col("effect") == e, F.col("id"))))) for e in ("helps", "harms")])).alias("groups"))
-    return J.exploded_groups(audit, "groups").join(rows.select("id", "stratum"), "id").select("id", "label", "stratum")
+    # audit documents of up to fifty ids, each a map of label -> ids
+    ids = [F.struct(F.lit(e), F.sort_array(F.collect_list(F.when(F.col("effect") == e, F.col("id"))))) for e in ("helps", "harms", "tie")]
+    audit = J.exploded_groups(rows.groupBy(F.floor(F.col("id") / 50)).agg(F.map_from_entries(F.array(*ids)).alias("groups")), "groups")
+    predictions = rows.select("id", F.explode(F.array(F.lit("native_prompt"), F.lit("other"))).alias("action"), F.concat_ws(":", "source", F.col("score").cast("string")).alias("said"))
+    found = J.audited(rows.select("id", "stratum"), predictions.where("action = 'native_prompt'").drop("action"), audit, "id", "said", ["helps", "harms"])
+    return found.select("id", "label", "stratum", "said")
 
 
 @query("J8_equal_sets", B.with_sql("scores", "SELECT a.image_id, a.score AS x, b.score AS y FROM scores a JOIN scores b USING (image_id) WHERE a.condition = 'view' AND b.condition = 'error'"))
@@ -450,12 +477,17 @@ def a18(spark, sf):
     return B.table(spark, sf, "events").groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("total"), r6(F.avg("value")).alias("mean"), F.max("value").alias("high"))
 
 
-@query("A19_coverage", "SELECT source, count(*) AS n, count(*) FILTER (n_chars > 500) AS available, round(count(*) FILTER (n_chars > 500) / count(*), 6) AS coverage, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (n_chars <= 500), '') AS failed FROM documents GROUP BY source")
+@query("A19_coverage", "SELECT source, count(*) AS n, count(*) FILTER (n_chars > 500) AS available, round(count(*) FILTER (n_chars > 500) / count(*), 6) AS coverage FROM documents GROUP BY source")
 def a19(spark, sf):
-    found = S.coverage(F.col("n_chars") > 500, F.col("doc_id"))
+    found = S.coverage(F.col("n_chars") > 500)
     return B.table(spark, sf, "documents").groupBy("source").agg(*[r6(c).alias(n) if n == "coverage" else c.alias(n) for n, c in found.items()])
 
 
+@query("A19_failed_ids", "SELECT source, doc_id FROM documents WHERE NOT n_chars > 500 ORDER BY source, doc_id")
+def a19_failed(spark, sf):
+    return S.failed(B.table(spark, sf, "documents"), F.col("n_chars") > 500, "doc_id", ["source"])
+
+
 @query("A20_distinct", "SELECT count(DISTINCT text) AS n_texts, count(DISTINCT source) AS n_sources FROM documents")
 def a20(spark, sf):
     return B.table(spark, sf, "documents").agg(F.count_distinct("text").alias("n_texts"), F.count_distinct("source").alias("n_sources"))
@@ -544,10 +576,21 @@ def f29(spark, sf):
     return done.agg(F.count_if("changed").alias("changed"), F.count_if(R.label("human_confirmation") != "").alias("confirmed"))
 
 
-@query("F30_dimension_lookup", "SELECT conv_id, turn, coalesce(CASE role WHEN 'user' THEN 'asks' WHEN 'assistant' THEN 'answers' END, 'other') AS part FROM conversations")
+STANCE_IDS = {"answer_premise": [1, 4, 7, 20], "reject_premise": [2, 5, 40, 41], "other": [3, 60]}
+CONFIDENCE_IDS = {"low": [1, 2, 3, 4], "high": [5, 6, 7, 8, 9]}
+NOTES = {"rejects": "names what the image lacks", "right": "right without a rejection", "wrong": "takes the premise", "clean_right": "agrees with the reference", "clean_wrong": "does not agree"}
+
+
+def _sets_sql(sets: dict[str, list[int]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN doc_id IN ({', '.join(map(str, ids))}) THEN '{name}'" for name, ids in sets.items()) + f" ELSE '{default}' END"
+
+
+@query("F30_dimension_lookup", f"""SELECT doc_id, how, confidence, CASE doc_id % 3 WHEN 0 THEN CASE WHEN a = 'yes' THEN '{NOTES["clean_right"]}' ELSE '{NOTES["clean_wrong"]}' END WHEN 1 THEN CASE WHEN a = 'yes' AND how = 'reject_premise' THEN '{NOTES["rejects"]}' WHEN a = 'yes' THEN '{NOTES["right"]}' ELSE '{NOTES["wrong"]}' END ELSE '' END AS note
+FROM (SELECT doc_id, {_sets_sql(STANCE_IDS, 'abstain')} AS how, {_sets_sql(CONFIDENCE_IDS, 'medium')} AS confidence, {LABELS} FROM documents)""")
 def f30(spark, sf):
-    parts = F.broadcast(spark.createDataFrame([("user", "asks"), ("assistant", "answers")], "role string, part string"))  # two rows
-    return B.table(spark, sf, "conversations").join(parts, "role", "left").select("conv_id", "turn", F.coalesce("part", F.lit("other")).alias("part"))
+    kind = F.element_at(F.array(*map(F.lit, ("multimodal_clean", "multimodal_conflict", "text_only_conflict"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = _labels(spark, sf).select("doc_id", "a", kind.alias("condition"), R.by_id_sets(F.col("doc_id"), STANCE_IDS, "abstain").alias("how"), R.by_id_sets(F.col("doc_id"), CONFIDENCE_IDS, "medium").alias("confidence"))
+    return rows.select("doc_id", "how", "confidence", R.default_note(F.col("a"), F.col("how"), F.col("condition"), NOTES).alias("note"))
 
 
 @query("F31_confirmed_exclusions", f"SELECT doc_id FROM (SELECT doc_id, {LABELS} FROM documents) WHERE a = 'no' AND doc_id % 6 IN (0, 1)")

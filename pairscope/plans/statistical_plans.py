@@ -28,7 +28,10 @@ def a5(spark, sf):
 
 @query("A6_distribution", B.with_sql("labeled", "SELECT stratum, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std_samp, round(median(score), 6) AS median, round(quantile_cont(score, 0.25), 6) AS q25, round(quantile_cont(score, 0.75), 6) AS q75, round(min(score), 6) AS low, round(max(score), 6) AS high FROM labeled GROUP BY stratum"))
 def a6(spark, sf):
-    return B.labeled(spark, sf).groupBy("stratum").agg(*[r6(c.cast("double")).alias(n) for n, c in T.distribution(F.col("score")).items()])
+    rows = B.labeled(spark, sf)
+    plain = rows.groupBy("stratum").agg(*[r6(c.cast("double")).alias(n) for n, c in (("mean", F.avg("score")), ("std_samp", F.stddev_samp("score")), ("low", F.min("score")), ("high", F.max("score")))])
+    ranked = T.quantiles(rows, "score", ["stratum"], {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return plain.join(_rounded(ranked, "median", "q25", "q75"), "stratum")
 
 
 @query("A21_policy_references", B.with_sql("labeled", "SELECT round(avg(before), 6) AS always_native, round(avg(after), 6) AS always_intervene, round(avg(greatest(before, after)), 6) AS oracle FROM labeled"))
@@ -103,8 +106,8 @@ def a30(spark, sf):
     return B.table(spark, sf, "events").groupBy("event_type").agg(r6(F.avg("value")).alias("mean"))
 
 
-def _auroc_sql(score: str, label: str, by: str, source: str) -> str:
-    return f"""SELECT {by}, np AS n_positive, nn AS n_negative, round((s - np * (np + 1) / 2) / nullif(np * nn, 0), 6) AS auroc FROM (
+def _auroc_sql(score: str, label: str, by: str, source: str, places: int = 6) -> str:
+    return f"""SELECT {by}, np AS n_positive, nn AS n_negative, round((s - np * (np + 1) / 2) / nullif(np * nn, 0), {places}) AS auroc FROM (
  SELECT {by}, count(*) FILTER (y) AS np, count(*) FILTER (NOT y) AS nn, sum(r) FILTER (y) AS s FROM (
  SELECT {by}, {label} AS y, rank() OVER (PARTITION BY {by} ORDER BY {score}) + (count(*) OVER (PARTITION BY {by}, {score}) - 1) / 2 AS r FROM {source}) GROUP BY {by})"""
 
@@ -146,7 +149,7 @@ def t6(spark, sf):
 
 @query("T7_quantile", "SELECT event_type, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY event_type")
 def t7(spark, sf):
-    return B.table(spark, sf, "events").groupBy("event_type").agg(r6(F.percentile("value", 0.1)).alias("q10"), r6(F.percentile("value", 0.9)).alias("q90"))
+    return _rounded(T.quantiles(B.table(spark, sf, "events"), "value", ["event_type"], {"q10": 0.1, "q90": 0.9}), "q10", "q90")
 
 
 REPLICATES = 20
@@ -171,16 +174,34 @@ def t8(spark, sf):
     return _rounded(T.interval(areas, "auroc", []), "ci_low", "ci_high")
 
 
-@query("T9_sample_bootstrap", B.with_sql("labeled", f", {_draws_sql('labeled', 'id', '', 12)}, a AS (SELECT replicate, avg(score) AS mean FROM b GROUP BY replicate) SELECT count(mean) AS valid_resamples, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM a"))
+def _ap_sql(score: str, label: str, by: str, source: str) -> str:
+    return f"""SELECT {by}, sum(p * h / m) / sum(p) AS average_precision FROM (SELECT {by}, p, sum(p) OVER w AS h, sum(c) OVER w AS m FROM (SELECT {by}, {score}, count(*) FILTER ({label}) AS p, count(*) AS c FROM {source} GROUP BY ALL) WINDOW w AS (PARTITION BY {by} ORDER BY {score} DESC ROWS UNBOUNDED PRECEDING)) GROUP BY {by}"""
+
+
+CI = "count(value) AS valid_resamples, round(quantile_cont(value, 0.025), 6) AS ci_low, round(quantile_cont(value, 0.975), 6) AS ci_high"
+
+#: Few rows, so that some replicates have one class and are skipped.
+SMALL = "small AS (SELECT id, score, target, probability FROM labeled WHERE id % 97 = 1 OR (id % 7 = 0 AND NOT target))"
+
+
+def _small(spark, sf):
+    return B.labeled(spark, sf).where("id % 97 = 1 OR (id % 7 = 0 AND NOT target)").select("id", F.col("score").cast("double").alias("score"), "target", "probability")
+
+
+@query("T9_sample_bootstrap", B.with_sql("labeled", f""", {SMALL}, {_draws_sql('small', 'id', '', 12)}, o AS (SELECT replicate FROM b GROUP BY replicate HAVING bool_and(target) OR bool_and(NOT target)), x AS (SELECT * FROM b WHERE replicate NOT IN (SELECT replicate FROM o)),
+v AS (SELECT 'mean' AS metric, avg(score) AS value FROM b GROUP BY replicate UNION ALL SELECT 'auroc', auroc FROM ({_auroc_sql('score', 'target', 'replicate', 'x', 12)}) UNION ALL SELECT 'average_precision', average_precision FROM ({_ap_sql('score', 'target', 'replicate', 'x')}))
+SELECT metric, {CI} FROM v GROUP BY metric"""))
 def t9(spark, sf):
-    drawn = T.resampled(B.labeled(spark, sf).select("id", "score"), ["id"], 12, REPLICATES, [])
-    return _rounded(T.interval(drawn.groupBy("replicate").agg(F.avg("score").alias("mean")), "mean", []), "ci_low", "ci_high")
+    drawn = T.resampled(_small(spark, sf), ["id"], 12, REPLICATES, [])
+    return _rounded(T.metric_intervals(drawn, "score", "target", []), "ci_low", "ci_high")
 
 
-@query("T10_paired_bootstrap", B.with_sql("labeled", f", {_draws_sql('labeled', 'id', '', 13)}, a AS (SELECT replicate, avg(after - before) AS gain FROM b GROUP BY replicate) SELECT count(gain) AS valid_resamples, round(quantile_cont(gain, 0.025), 6) AS ci_low, round(quantile_cont(gain, 0.975), 6) AS ci_high FROM a"))
+@query("T10_paired_bootstrap", B.with_sql("labeled", f""", {_draws_sql('labeled', 'id', '', 13)}, g AS (SELECT replicate, avg(score / 997 - probability) AS value FROM b GROUP BY replicate),
+u AS (SELECT a.auroc - p.auroc AS value FROM ({_auroc_sql('score', 'target', 'replicate', 'b', 12)}) a JOIN ({_auroc_sql('probability', 'target', 'replicate', 'b', 12)}) p USING (replicate))
+SELECT 'mean' AS metric, {CI} FROM g UNION ALL SELECT 'auroc', {CI} FROM u"""))
 def t10(spark, sf):
-    drawn = T.resampled(B.labeled(spark, sf).select("id", "before", "after"), ["id"], 13, REPLICATES, [])
-    return _rounded(T.interval(drawn.groupBy("replicate").agg(F.avg(F.col("after") - F.col("before")).alias("gain")), "gain", []), "ci_low", "ci_high")
+    rows = B.labeled(spark, sf).select("id", "target", (F.col("score") / 997).alias("score"), "probability")
+    return _rounded(T.paired_intervals(T.resampled(rows, ["id"], 13, REPLICATES, []), "score", "probability", "target", []), "ci_low", "ci_high")
 
 
 @query("T11_group_bootstrap", B.with_sql("labeled", f", g AS (SELECT DISTINCT image_hash FROM labeled), {_draws_sql('g', 'image_hash', '', 14)}, a AS (SELECT replicate, avg(score) AS mean FROM b JOIN labeled USING (image_hash) GROUP BY replicate) SELECT count(mean) AS valid_resamples, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM a"))
@@ -204,11 +225,18 @@ def t12(spark, sf):
     return _rounded(T.auroc(cells, "value", "y", ["cell"]), "auroc")
 
 
-@query("T13_univariate", B.with_sql("labeled", f", {FEATURES} SELECT a.feature, a.auroc, s.mean_positive, s.mean_negative FROM ({_auroc_sql('v', 'target', 'feature', 'f')}) a JOIN (SELECT feature, round(avg(v) FILTER (target), 6) AS mean_positive, round(avg(v) FILTER (NOT target), 6) AS mean_negative FROM f GROUP BY feature) s USING (feature)"))
+@query("T13_univariate", B.with_sql("labeled", f""", {FEATURES}, k AS (SELECT *, feature || '|' || target::VARCHAR AS cell FROM f), {_draws_sql('k', 'id', 'cell', 15)},
+i AS (SELECT feature, {CI} FROM (SELECT split_part(c, '/', 1) AS feature, auroc AS value FROM ({_auroc_sql('v', 'target', 'c', "(SELECT *, feature || '/' || replicate AS c FROM b)", 12)})) GROUP BY feature),
+s AS (SELECT feature, {DESCRIBE}, round(avg(v) FILTER (target), 6) AS mean_positive, round(avg(v) FILTER (NOT target), 6) AS mean_negative FROM f GROUP BY feature)
+SELECT * FROM ({_auroc_sql('v', 'target', 'feature', 'f')}) JOIN s USING (feature) JOIN i USING (feature)"""))
 def t13(spark, sf):
     rows = _features(spark, sf)
-    means = rows.groupBy("feature").agg(r6(F.avg(F.when(F.col("target"), F.col("value")))).alias("mean_positive"), r6(F.avg(F.when(~F.col("target"), F.col("value")))).alias("mean_negative"))
-    return _rounded(T.auroc(rows, "value", "target", ["feature"]), "auroc").select("feature", "auroc").join(means, "feature")
+    found = {n: c if n == "n" else r6(c) for n, c in T.describe(F.col("value")).items() if n != "median"}
+    found |= {"mean_positive": r6(F.avg(F.when(F.col("target"), F.col("value")))), "mean_negative": r6(F.avg(F.when(~F.col("target"), F.col("value"))))}
+    means = rows.groupBy("feature").agg(*[c.alias(n) for n, c in found.items()]).join(_rounded(T.quantiles(rows, "value", ["feature"], {"median": 0.5}), "median"), "feature")
+    drawn = T.resampled(rows, ["id"], 15, REPLICATES, ["feature", "target"])
+    limits = T.interval(T.auroc(drawn, "value", "target", ["feature", "replicate"]), "auroc", ["feature"])
+    return _rounded(T.auroc(rows, "value", "target", ["feature"]), "auroc").join(means, "feature").join(_rounded(limits, "ci_low", "ci_high"), "feature")
 
 
 @query("T14_score_agreement", B.with_sql("scores", f", {R.DELTAS} SELECT round(avg(abs(conflict_delta - clean_delta)), 6) AS mean_abs, round(max(abs(conflict_delta - clean_delta)), 6) AS max_abs, round(corr(conflict_delta, clean_delta), 6) AS r FROM d"))
@@ -224,9 +252,10 @@ def t15(spark, sf):
     return rows.groupBy("effect").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("mean")).withColumn("one", F.lit(1)).join(area, "one").drop("one")
 
 
-@query("T16_label_alignment", B.with_sql("labeled", "SELECT target, count(*) AS n, round(avg(probability), 6) AS mean FROM labeled GROUP BY target"))
+@query("T16_label_alignment", B.with_sql("labeled", f", l AS (SELECT 'target' AS label, target AS y, probability AS v FROM labeled UNION ALL SELECT 'toxic', before = 1, probability FROM labeled) SELECT a.label, n_positive, n_negative, auroc, mean_positive, mean_negative FROM ({_auroc_sql('v', 'y', 'label', 'l')}) a JOIN (SELECT label, round(avg(v) FILTER (y), 6) AS mean_positive, round(avg(v) FILTER (NOT y), 6) AS mean_negative FROM l GROUP BY label) m USING (label)"))
 def t16(spark, sf):
-    return B.labeled(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("probability")).alias("mean"))
+    rows = B.labeled(spark, sf).select("probability", F.inline(F.array(F.struct(F.lit("target").alias("label"), F.col("target").alias("y")), F.struct(F.lit("toxic").alias("label"), (F.col("before") == 1).alias("y")))))
+    return _rounded(T.alignment(rows, "probability", "y", ["label"]), "auroc", "mean_positive", "mean_negative")
 
 
 QUOTA = "q AS (SELECT lang, n, fl + (row_number() OVER (ORDER BY raw - fl DESC, n DESC, lang DESC) <= {size} - sum(fl) OVER ())::INT AS quota FROM (SELECT *, floor(raw) AS fl FROM (SELECT lang, count(*) AS n, {size} * count(*) / sum(count(*)) OVER () AS raw FROM documents GROUP BY lang)))"
@@ -328,10 +357,28 @@ def m13(spark, sf):
     return B.labeled(spark, sf).groupBy("stratum").agg(decision.alias("decision"))
 
 
-@query("M14_compare_feature_sets")
+#: Decisions that stand for out-of-fold ones: three feature sets, two repeats, by rules that SQL can say.
+DECISIONS = """dc AS (SELECT feature_set, repeat, id, target, before, after, p, p >= 0.5 AS selected FROM (SELECT id, target, before, after, unnest(['a', 'b', 'c']) AS feature_set, unnest([probability, score / 997, (id % 89) / 89.0::DOUBLE]) AS q FROM labeled), (SELECT unnest([0, 1]) AS repeat), LATERAL (SELECT CASE repeat WHEN 0 THEN q ELSE 1 - (1 - q) * 0.9 END AS p))"""
+
+
+def _decisions(spark, sf):
+    rows = B.labeled(spark, sf)
+    sets = F.array(*[F.struct(F.lit(n).alias("feature_set"), q.alias("q")) for n, q in (("a", F.col("probability")), ("b", F.col("score") / 997), ("c", (F.col("id") % 89) / 89))])
+    each = rows.select("id", F.inline(sets)).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("repeat"))
+    p = F.when(F.col("repeat") == 0, F.col("q")).otherwise(1 - (1 - F.col("q")) * 0.9)
+    return each.select("feature_set", "repeat", "id", p.alias("probability"), (p >= 0.5).alias("selected")), rows
+
+
+@query("M14_compare_feature_sets", B.with_sql("labeled", f""", {DECISIONS}, e AS (SELECT feature_set, id, target, avg(p) AS p, avg(CASE WHEN selected THEN after ELSE before END) AS u FROM dc GROUP BY ALL),
+r AS (SELECT a.feature_set || '|' || b.feature_set AS pair, a.id, a.target, a.p AS p1, b.p AS p2, a.u AS u1, b.u AS u2 FROM e a JOIN e b ON a.id = b.id AND a.feature_set < b.feature_set), {_draws_sql('r', 'id', 'pair', 16)},
+k AS (SELECT *, pair || '/' || replicate AS c FROM b),
+v AS (SELECT pair, 'mean' AS metric, avg(u2 - u1) AS value FROM b GROUP BY pair, replicate UNION ALL SELECT split_part(x.c, '/', 1), 'auroc', y.auroc - x.auroc FROM ({_auroc_sql('p1', 'target', 'c', 'k', 12)}) x JOIN ({_auroc_sql('p2', 'target', 'c', 'k', 12)}) y USING (c)),
+g AS (SELECT pair, 'mean' AS metric, avg(u2 - u1) AS gain FROM r GROUP BY pair UNION ALL SELECT x.pair, 'auroc', y.auroc - x.auroc FROM ({_auroc_sql('p1', 'target', 'pair', 'r', 12)}) x JOIN ({_auroc_sql('p2', 'target', 'pair', 'r', 12)}) y USING (pair))
+SELECT split_part(pair, '|', 1) AS first, split_part(pair, '|', 2) AS second, metric, round(any_value(gain), 6) AS gain, {CI} FROM v JOIN g USING (pair, metric) GROUP BY pair, metric"""))
 def m14(spark, sf):
-    rows = _study_rows(spark, sf)
-    return M.compare_sets(M.nested_cv(rows, STUDY), rows, "id", "target")
+    decisions, rows = _decisions(spark, sf)
+    found = M.compare_sets(decisions, rows, "id", "target", "before", "after", 16, REPLICATES)
+    return _rounded(found, "gain", "ci_low", "ci_high")
 
 
 @query("M15_majority_action", B.with_sql("labeled", "SELECT image_hash, avg(before) >= 0.5 AS selected FROM labeled GROUP BY image_hash"))
@@ -340,8 +387,19 @@ def m15(spark, sf):
     return M.majority(rows, "image_hash").select("image_hash", "selected")
 
 
-@query("M16_frozen_by_stratum")
+#: A frozen selector of fixed numbers, as one would be read from a file.
+FROZEN = M.Frozen(("score", "probability"), (500.0, 0.5), (288.0, 0.29), (0.4, -0.7, 0.1), 0.55)
+Z = " + ".join([str(FROZEN.weights[-1]), *[f"({f} - {m}) / {s} * ({w})" for f, m, s, w in zip(FROZEN.features, FROZEN.mean, FROZEN.std, FROZEN.weights, strict=False)]])
+
+
+@query("M16_frozen_by_stratum", B.with_sql("labeled", f""", ot AS (SELECT *, 1 / (1 + exp(-({Z}))) >= {FROZEN.threshold} AS s FROM labeled WHERE image_hash NOT IN (SELECT image_hash FROM labeled WHERE stratum = 'en') AND stratum <> 'en'), ch AS (SELECT id, stratum, (CASE WHEN s THEN after ELSE before END)::DOUBLE AS u, before::DOUBLE AS w FROM ot), {_draws_sql('ch', 'id', 'stratum', 17)},
+v AS (SELECT stratum, avg(u) AS u, avg(u - w) AS d FROM b GROUP BY stratum, replicate), i AS (SELECT stratum, count(u) AS valid_resamples, round(quantile_cont(u, 0.025), 6) AS utility_low, round(quantile_cont(u, 0.975), 6) AS utility_high, round(quantile_cont(d, 0.025), 6) AS gain_low, round(quantile_cont(d, 0.975), 6) AS gain_high FROM v GROUP BY stratum)
+SELECT stratum, count(*) AS n, count(*) FILTER (s) AS selected, round(count(*) FILTER (s) / count(*), 6) AS selection_rate, round(avg(CASE WHEN s THEN after ELSE before END), 6) AS utility, round(avg(before), 6) AS utility_before, round(avg(after), 6) AS utility_after, round(avg(greatest(before, after)), 6) AS oracle,
+ round(count(*) FILTER (s AND after > before) / nullif(count(*) FILTER (after > before), 0), 6) AS capture, {HARM} AS harm_avoidance, any_value(valid_resamples) AS valid_resamples, any_value(utility_low) AS utility_low, any_value(utility_high) AS utility_high, any_value(gain_low) AS gain_low, any_value(gain_high) AS gain_high
+FROM ot JOIN i USING (stratum) GROUP BY stratum"""))
 def m16(spark, sf):
-    rows = _study_rows(spark, sf)
-    scored = M.transfer(rows.where("stratum = 'en'"), rows.where("stratum <> 'en'"), STUDY, "score")
-    return scored.groupBy("stratum").agg(*[c.alias(n) for n, c in S.policy(F.col("selected"), F.col("before"), F.col("after"), None).items()])
+    rows = B.labeled(spark, sf)
+    other = rows.where("stratum <> 'en'").join(rows.where("stratum = 'en'").select("image_hash").distinct(), "image_hash", "left_anti")
+    scored = other.withColumn("selected", FROZEN.probability() >= FROZEN.threshold)
+    found = M.by_stratum(scored, "stratum", "id", "before", "after", 17, REPLICATES)
+    return _rounded(found, *[c for c in found.columns if c not in ("stratum", "n", "selected", "valid_resamples")])

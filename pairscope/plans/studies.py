@@ -14,7 +14,6 @@ from pairscope.functions import text as T
 from pairscope.operators import align as J
 from pairscope.operators import contracts as C
 from pairscope.operators import review as R
-from pairscope.operators import sampling as O
 from pairscope.operators import select as M
 from pairscope.operators import stats
 from pairscope.operators import summarize as S
@@ -154,11 +153,6 @@ def summarize_semantic_review(review: DataFrame) -> dict[str, DataFrame]:
     return {"summary": S.grouped(rows, [[], ["condition"]], metrics), "proxy": judged.groupBy("condition").agg(*_columns(S.confusion(F.col("how") == "reject_premise", F.col("stance") == "reject_premise")))}
 
 
-def sample_manifest(pairs: DataFrame, key: str, stratum: str, sizes: dict[str, int], seed: int) -> DataFrame:
-    """Nested stratified samples as flags, with a stable order."""
-    return O.nested(pairs, key, stratum, sizes, seed).withColumn("sample_order", O.shuffled_key(seed, F.col(key)))
-
-
 def validate_selectors(rows: DataFrame, study: M.Study, baseline: str, candidate: str, least: tuple[float, float, float] = (0.03, 0.0, 0.6), replicates: int = 1000) -> dict[str, DataFrame]:
     """Nested cross-validation of feature sets, a group bootstrap of each policy's utility, and the go/no-go decision for candidate over baseline."""
     decisions = M.nested_cv(rows, study)
