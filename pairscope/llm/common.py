@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairscope.sources.io import drop_path, scratch, shared_dir
+
+__all__ = ["drop_path", "scratch", "shared_dir"]
 
 #: Bytes of text that one vectorised pass holds; a longer document makes a pass of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="pairscope-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/pairscope/{label}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a path of :func:`scratch` through Spark's own file system layer."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def saved(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -48,6 +30,30 @@ def saved(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def working(name: str, forget: Callable[[], object] | None = None) -> None:
+    """Said by a worker process that starts a task of the operator ``name``: drops what others remember between tasks.
+
+    Workers are used again for other stages, where such memory would only be in the way."""
+    for other in [n for n in _held if n != name]:
+        _held.pop(other)()
+        pa.default_memory_pool().release_unused()
+    if forget is not None:
+        _held[name] = forget
+
+
+def free_names(taken: list[str], *wanted: str) -> dict[str, str]:
+    """A name for each of wanted that no column has, whatever its case."""
+    held, out = {c.lower() for c in taken}, {}
+    for name in wanted:
+        out[name] = f"__{name}"
+        while out[name].lower() in held:
+            out[name] = f"_{out[name]}"
+    return out
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit values."""
     x = x.astype(np.uint64, copy=True)
@@ -111,17 +117,69 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all rows' words in order: start, end (bytes), row and 64-bit hash. data is lower-cased by the caller."""
+    """Of all rows' words in order: start, end (bytes), row and 64-bit hash. data is lower-cased by the caller.
+
+    Long texts go in pieces, cut between words, and so does a word longer than a piece: beside the result, memory is
+    bounded for any text."""
+    size = len(data)
+    if size <= 2 * CHUNK_BYTES:
+        return _words(data, offsets, separators)
+    found, at = [], 0
+    while at < size:
+        end = _bound_after(data, offsets, separators, min(at + CHUNK_BYTES, size))
+        if end - at > 2 * CHUNK_BYTES:  # nothing parts the bytes from at + CHUNK_BYTES to the last before end
+            begin = _bound_before(data, offsets, separators, at, at + CHUNK_BYTES)
+            stop = end - int(separators[data[end - 1]])
+            found.append(_part(data, offsets, separators, at, begin))
+            row = int(np.searchsorted(offsets, begin, side="right")) - 1
+            found.append((np.array([begin]), np.array([stop]), np.array([row]), _long_hash(data[begin:stop])))
+        else:
+            found.append(_part(data, offsets, separators, at, end))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _part(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of data[first:last], placed in the whole."""
+    row = int(np.searchsorted(offsets, first, side="right")) - 1
+    upto = int(np.searchsorted(offsets, last, side="left"))
+    own = np.concatenate([[0], offsets[row + 1 : upto] - first, [last - first]])
+    starts, ends, rows, hashes = _words(data[first:last], own, separators)
+    return starts + first, ends + first, rows + row, hashes
+
+
+def _bound_after(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, at: int) -> int:
+    """The first place from at on where a row ends or a separator has just passed."""
+    edge = int(offsets[np.searchsorted(offsets, at, side="left")])
+    for first in range(at, edge, CHUNK_BYTES):
+        gap = np.flatnonzero(separators[data[first : min(first + CHUNK_BYTES, edge)]])[:1]
+        if len(gap):
+            return first + int(gap[0]) + 1
+    return edge
+
+
+def _bound_before(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, low: int, high: int) -> int:
+    """The last place in low..high where a row begins or a separator has just passed."""
+    edge = max(low, int(offsets[np.searchsorted(offsets, high, side="right") - 1]))
+    gap = np.flatnonzero(separators[data[edge:high]])[-1:]
+    return edge + int(gap[0]) + 1 if len(gap) else edge
+
+
+def _long_hash(word: np.ndarray) -> np.ndarray:
+    """As in _words, of one word of any length."""
+    power, total = _powers(2 * CHUNK_BYTES)[0], 0
+    for at in range(0, len(word), CHUNK_BYTES):
+        part = word[at : at + CHUNK_BYTES]
+        inner = int((_BYTE_VALUES[part] * power[: len(part)]).sum(dtype=np.uint64))
+        total = (total + inner * pow(int(_BASE), at, 1 << 64)) % (1 << 64)
+    return splitmix(np.array([total], dtype=np.uint64))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     size = len(data)
     none = np.zeros(0, dtype=np.int64)
     if not size:
         return none, none, none, none.astype(np.uint64)
-    if size > 2 * CHUNK_BYTES and len(gap := np.flatnonzero(separators[data[CHUNK_BYTES : size - 1]])[:1]):
-        cut = int(gap[0]) + CHUNK_BYTES + 1  # a long text in pieces, cut after a separator: bounded memory for any length
-        row = int(np.searchsorted(offsets, cut, side="right")) - 1
-        head = words(data[:cut], np.append(offsets[: row + 1], cut), separators)
-        tail = words(data[cut:], np.concatenate([[0], offsets[row + 1 :] - cut]), separators)
-        return tuple(np.concatenate([a, b + shift]) for a, b, shift in zip(head, tail, (cut, cut, row, np.uint64(0)), strict=True))
     inside = ~separators[data]
     edge = np.zeros(size + 1, dtype=bool)
     edge[offsets] = True
@@ -131,7 +189,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tupl
     after = np.empty(size, dtype=bool)
     after[-1], after[:-1] = True, ~inside[1:]
     ends = np.flatnonzero(inside & (after | edge[1:])) + 1
-    power, inverse = _powers(max(CHUNK_BYTES + 1, 1 << (size - 1).bit_length()))
+    power, inverse = _powers(2 * CHUNK_BYTES)
     terms = _BYTE_VALUES[data] * power[:size]
     sums = np.cumsum(terms, dtype=np.uint64)
     hashes = (sums[ends - 1] - sums[starts] + terms[starts]) * inverse[starts]
@@ -170,29 +228,77 @@ def by_row(owners: np.ndarray, n_rows: int) -> np.ndarray:
     return np.searchsorted(owners, np.arange(n_rows + 1))
 
 
-_BITMAP_BLOCK = 1 << 16
+#: A row of a bitmap table holds 2^_ROW bits (4 KB); the largest table has 2^_MOST bits (32 MB).
+_ROW, _MOST = 15, 28
+
+
+def bitmap_table(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
+    """Rows (bucket, taken), to be broadcast, and their bits: which of 2^bits places the longs of keys (key) take by their high bits.
+
+    One other key in sixteen hits a taken place at most, up to 2^_MOST bits; by SQL functions alone."""
+    bits = min(_MOST, max(20, (16 * max(n_keys, 1) - 1).bit_length()))
+    place = F.shiftrightunsigned("key", 64 - bits)
+    rows = keys.groupBy(F.shiftrightunsigned(place, _ROW).alias("bucket")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit((1 << _ROW) - 1))).alias("taken"))
+    return F.broadcast(rows), bits  # 2^bits / 8 bytes
+
+
+def bucket(key: Column, bits: int) -> Column:
+    """The row of a bitmap table that key falls in."""
+    return F.shiftrightunsigned(key, 64 - bits + _ROW)
+
+
+def is_taken(key: Column, taken: Column, bits: int) -> Column:
+    """Whether key's place is taken in the row that it falls in (NULL: no row)."""
+    place = F.shiftrightunsigned(key, 64 - bits).bitwiseAND(F.lit((1 << _ROW) - 1))
+    byte = F.conv(F.hex(F.substring(taken, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))) != 0, F.lit(False))
+
+
+def parted(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs in two: the rows whose key may be among keys (one column of longs, a table), and those whose key is not.
+
+    So a join with few of many documents needn't shuffle the texts of the others."""
+    table_, bits = bitmap_table(keys.toDF("key"), keys.count())
+    own = free_names(docs.columns, "key", "bucket", "taken")
+    joined = docs.withColumn(own["key"], key).join(table_.toDF(own["bucket"], own["taken"]), bucket(F.col(own["key"]), bits) == F.col(own["bucket"]), "left")
+    held = is_taken(F.col(own["key"]), F.col(own["taken"]), bits)
+    return joined.where(held).select(*docs.columns), joined.where(~held).select(*docs.columns)
+
+
+_BITMAP_BLOCK = 1 << 13
+
+
+def bitmap_bits(n_keys: int, spare: int = 8) -> int:
+    """Bits for a bitmap of so many keys, in which one other key in spare hits a taken place at most; 2^30 (128 MB) is the largest."""
+    return min(30, max(20, (spare * max(n_keys, 1) - 1).bit_length()))
 
 
 def bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """Which of 2^bits places the 64-bit keys (one column) take by their high bits. Merged on the executors; the size is fixed by bits."""
+    """Which of 2^bits places the 64-bit keys (one column) take by their high bits: 2^bits / 8 bytes in the driver.
+
+    Keys are dealt by the block of the map that they fall in, so a block is made in one place and none is merged."""
+    block_bits = (_BITMAP_BLOCK * 8).bit_length() - 1
+    key = F.col(keys.columns[0])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(1 << bits, dtype=bool)
+        blocks: dict[int, np.ndarray] = {}
         for batch in batches:
-            field[batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)] = True
-        packed = np.packbits(field).reshape(-1, _BITMAP_BLOCK)
-        taken = [i for i in range(len(packed)) if packed[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(taken, pa.int32()), pa.array([packed[i].tobytes() for i in taken], pa.binary())], names=["block", "bits"])
-
-    def merge(part: pa.Table) -> pa.Table:
-        field = np.zeros(_BITMAP_BLOCK, dtype=np.uint8)
-        for x in part.column("bits"):
-            field |= np.frombuffer(x.as_buffer(), dtype=np.uint8)
-        return pa.table({"block": part.column("block")[:1].cast(pa.int32()), "bits": pa.array([field.tobytes()], pa.binary())})
-
-    out = np.zeros((1 << bits) // 8, dtype=np.uint8).reshape(-1, _BITMAP_BLOCK)
-    parts = keys.coalesce(8).mapInArrow(mark, "block int, bits binary")
-    for row in parts.groupBy("block").applyInArrow(merge, "block int, bits binary").collect():
+            places = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            if not len(places):
+                continue
+            numbers, first = np.unique(places >> block_bits, return_index=True)
+            for number, part in zip(numbers.tolist(), np.split(places, first[1:]), strict=True):
+                field = blocks.setdefault(number, np.zeros(_BITMAP_BLOCK, dtype=np.uint8))
+                inner = part - (number << block_bits)
+                at, begin = np.unique(inner >> 3, return_index=True)
+                field[at] |= np.bitwise_or.reduceat((128 >> (inner & 7)).astype(np.uint8), begin)
+        numbers = list(blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([blocks[i].tobytes() for i in numbers], pa.binary())], names=["block", "bits"])
+
+    n_blocks = max(1, (1 << bits) >> block_bits)
+    dealt = keys.select(key.alias("key")).repartition(min(n_blocks, 4 * max(keys.sparkSession.sparkContext.defaultParallelism, 4)), F.shiftrightunsigned("key", 64 - bits + block_bits))
+    out = np.zeros((n_blocks, _BITMAP_BLOCK), dtype=np.uint8)
+    for row in dealt.mapInArrow(mark, "block int, bits binary").collect():
         out[row["block"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out.reshape(-1)
 

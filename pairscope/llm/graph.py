@@ -9,7 +9,7 @@ from pairscope.llm.common import drop_path, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b: long) -> (node, root): every node of an edge with the smallest node it reaches."""
+    """edges (a, b: of any type with an order) -> (node, root): every node of an edge with the smallest node it reaches."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
     both, both_path = saved(both, "edges")
     # the start already is one step of propagation
