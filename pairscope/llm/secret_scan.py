@@ -3,7 +3,8 @@
 Every rule's regex gives a Boolean trigram query (an OR of ANDs) by reading the regex' parse tree. The index
 holds a posting (trigram, document key) for each trigram that some rule asks for and that occurs in the
 lower-cased text. Postings are intersected per clause, the documents found are verified with the regex itself,
-and a rule without mandatory trigrams scans every document.
+and a rule without mandatory trigrams scans every document in place. A bitmap of the found documents' keys, 32 MB at
+most, tells the scan whose texts go on to be verified; others leave it with their spans alone.
 
 Document key: a hash of (doc_id, text), so equal rows share a fate and copies spread over all partitions.
 Defined results: a null text counts as empty; repeated rows and equal or null doc_ids give a row each; an empty
@@ -19,7 +20,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import table
+from pairscope.llm.common import bitmap_table, bucket, is_taken, saved, table
 
 with warnings.catch_warnings():
     warnings.simplefilter("ignore")
@@ -168,17 +169,21 @@ def _matches(text: Column, rule: Rule, rank: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All spans of every document: doc_id and spans, an array of (start, kind, end) by start, then in the rules' order."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", document_key())
-    found = candidates(docs, rules)
-    full = docs if found is None else docs.join(found, "key", "left")
     marks = F.contains("text", F.lit("\u0001")) | F.contains("text", F.lit("\u0002"))
     text = F.when(marks, F.translate("text", "\u0001\u0002", "\u0003\u0003")).otherwise(F.col("text"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    each = []
-    for rank, rule in enumerate(rules):
-        own = _matches(F.col("text"), rule, rank)
-        each.append(own if trigram_query(rule.regex) == ANY else F.when(F.array_contains("kinds", F.lit(rule.kind)), own).otherwise(none))
-    spans = F.array_sort(F.concat(*each))
-    return full.withColumn("text", text).select("doc_id", spans.alias("spans"))
+    guided = {rank for rank, rule in enumerate(rules) if trigram_query(rule.regex) != ANY}
+    everywhere = [_matches(F.col("text"), rule, rank) for rank, rule in enumerate(rules) if rank not in guided]
+    here = F.concat(none, *everywhere)
+    found = candidates(docs, rules)
+    if found is None:
+        return docs.withColumn("text", text).select("doc_id", F.array_sort(here).alias("spans"))
+    found, _ = saved(found, "candidates")
+    bitmap, bits = bitmap_table(found.select("key"), found.count())
+    asked = docs.withColumn("text", text).join(bitmap, bucket(F.col("key"), bits) == F.col("bucket"), "left")
+    slim = asked.select("doc_id", "key", here.alias("here"), F.when(is_taken(F.col("key"), F.col("taken"), bits), F.col("text")).alias("text"))
+    each = [F.when(F.array_contains("kinds", F.lit(rules[rank].kind)), _matches(F.col("text"), rules[rank], rank)).otherwise(none) for rank in sorted(guided)]
+    return slim.join(found, "key", "left").select("doc_id", F.array_sort(F.concat("here", *each)).alias("spans"))
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
