@@ -4,8 +4,9 @@ Items are partitioned by size: an item of q shingles belongs to the class of the
 each class present, a document is searched in windows of 2 L shingles that advance by L, so a whole item lies
 within one window however long the document is, and the Jaccard similarity of an item at the threshold and its
 window stays above 0.19. Window and item meet if one of HASHES minimum hashes agrees (the chance to miss such an
-item is below 2 in a million). A bitmap of fixed size tells which minimum hashes occur among the items, so only
-those leave the scan. Documents and items that meet are verified on all their shingles.
+item is below 2 in a million). A bitmap, sized by the items and 128 MB at most, tells which minimum hashes occur among
+them, so only those leave the scan. Documents and items that meet are verified on all their shingles; the items that a
+document is asked about come to it in slices of bounded size, however many they are.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased; a shingle is five words.
 Defined results: an item or document of fewer words has one shingle, its whole sequence; one without words
@@ -19,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope.llm import common
-from pairscope.llm.common import bitmap, drop_path, marked, saved, splitmix, table
+from pairscope.llm.common import bitmap, drop_path, marked, parted, saved, splitmix, table
 
 SHINGLE, PERCENT = 5, 80
 HASHES = 64
-BITMAP_BITS = 26
+#: Bytes of items' shingles that one row holds beside a document, about.
+SLICE_BYTES = 4 << 20
 _XOR = splitmix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 _ODD = splitmix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
@@ -70,7 +72,7 @@ def item_index(items: DataFrame) -> DataFrame:
     return found.where(F.size("keys") > 0).select(F.xxhash64("body").alias("rid"), "item_id", "size", "body", "keys")
 
 
-def _window_keys(values: np.ndarray, at: np.ndarray, size: int, field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _window_keys(values: np.ndarray, at: np.ndarray, size: int, field: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Of all windows' minimum hashes those whose place is marked: rows and keys."""
     places = np.arange(len(values)) - np.repeat(at[:-1], np.diff(at))
     starts = np.flatnonzero(places % size == 0)
@@ -81,7 +83,7 @@ def _window_keys(values: np.ndarray, at: np.ndarray, size: int, field: np.ndarra
         lows = np.minimum.reduceat((values ^ x) * o, starts)
         lows[:-1][joined] = np.minimum(lows[:-1], lows[1:])[joined]
         keys = _key(lows, h, size)
-        hit = np.flatnonzero(marked(field, keys, BITMAP_BITS))
+        hit = np.flatnonzero(marked(field, keys, bits))
         found_rows.append(rows[hit])
         found_keys.append(keys[hit])
     return np.concatenate(found_rows), np.concatenate(found_keys)
@@ -92,15 +94,17 @@ def meetings(docs: DataFrame, index: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keys = index.select(F.explode("keys").alias("key"), "rid")
     sizes = sorted(r["size"] for r in index.select("size").distinct().collect())  # powers of two
-    shared = spark.sparkContext.broadcast(bitmap(keys.select("key"), BITMAP_BITS))
+    bits = common.bitmap_bits(index.agg(F.sum(F.size("keys"))).first()[0] or 0, 64)
+    shared = spark.sparkContext.broadcast(bitmap(keys.select("key"), bits))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.working("decontaminate")
         field = shared.value
         for batch in batches:
             for first, values, at in _shingled(batch.column(2)):
                 if not len(values):
                     continue
-                parts = [_window_keys(values, at, size, field) for size in sizes]
+                parts = [_window_keys(values, at, size, field, bits) for size in sizes]
                 rows, found = np.concatenate([r for r, _ in parts]), np.concatenate([k for _, k in parts])
                 if len(rows):
                     pairs = np.unique(np.stack([rows.astype(np.int64) + first, found.view(np.int64)]), axis=1)
@@ -111,13 +115,20 @@ def meetings(docs: DataFrame, index: DataFrame) -> DataFrame:
     return hits.join(keys, "key").select("doc_id", "th", "rid").distinct()
 
 
+def _document() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "th")
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs (doc_id, th, item_id, shared, n_shingles): the document has at least PERCENT of the item's shingles; th: hash of the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
     index, index_path = saved(item_index(items), "items")
     bodies = index.select("rid", "body").dropDuplicates(["rid"])
     met, met_path = saved(meetings(docs, index), "meetings")
-    asked = met.join(bodies, "rid").groupBy("doc_id", "th").agg(F.collect_list(F.struct("rid", "body")).alias("asked"))
+    weighed = met.join(bodies.select("rid", F.length("body").alias("bytes")), "rid").groupBy("doc_id", "th").agg(F.sum("bytes").alias("bytes"))
+    slices = weighed.select(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th"), F.ceil(F.col("bytes") / SLICE_BYTES).alias("slices"))
+    placed = met.join(slices, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))).select("doc_id", "th", "rid", F.pmod("rid", "slices").alias("slice"))
+    asked = placed.join(bodies, "rid").groupBy("doc_id", "th", "slice").agg(F.collect_list(F.struct("rid", "body")).alias("asked"))
     asked = asked.select(F.col("doc_id").alias("id"), F.col("th").alias("hash"), "asked")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +143,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                         out.append((doc_id, th, item["rid"].as_py(), shared, len(body)))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 5)], names=["doc_id", "th", "rid", "shared", "n_shingles"])
 
-    joined = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash"))).select("doc_id", "th", "asked", "text")
+    held, _ = parted(docs, _document(), met.select(_document()))
+    joined = held.join(asked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("hash"))).select("doc_id", "th", "asked", "text")
     verified = joined.mapInArrow(check, "doc_id long, th long, rid long, shared long, n_shingles long")
     result, _ = saved(verified.join(index.select("rid", "item_id"), "rid").select("doc_id", "th", "item_id", "shared", "n_shingles"), "contaminated")
     drop_path(docs.sparkSession, index_path)
@@ -148,8 +160,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item stay."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti").select(*docs.columns)
+    own = common.free_names(docs.columns, "id", "th")
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    held, clean = parted(docs, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")), found.select(_document()))
+    gone = found.select("doc_id", "th").distinct().toDF(own["id"], own["th"])
+    kept = held.join(gone, F.col("doc_id").eqNullSafe(F.col(own["id"])) & (F.xxhash64("text") == F.col(own["th"])), "left_anti")
+    return kept.select(*docs.columns).unionByName(clean)
 
 
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
