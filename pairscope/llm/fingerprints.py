@@ -5,8 +5,11 @@ Each word of the lower-cased text votes with its weight on 128 signed bits. A wo
 summed two to a 64-bit column, in lanes of 32 bits; a text's weights add up to less than 2^31 as no word weighs
 more than the bytes it and its separator take.
 
+To meet its next one, each document goes to a group of neighbours by (doc_id, hash of text), so a doc_id that many
+rows share, or lack, is spread over groups too; rows equal in both stay together.
+
 Defined results: a null text counts as empty and has the fingerprint 0; equal texts have equal fingerprints;
-a null doc_id sorts below all others; rows of equal doc_id follow by a hash of their text; the only row of a
+a null doc_id sorts below all others; rows of equal doc_id follow by descending xxhash64 of their text; the only row of a
 table is its own next one; an empty table gives no rows; other columns are ignored.
 """
 
@@ -17,13 +20,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairscope.llm.common import drop_path, saved, table
+from pairscope.llm.common import saved, table
 
 HALVES, LANES = 2, 32
 BITS = HALVES * 64
 RADIUS, BLOCKS = 16, 6
-#: Documents that one group of neighbours aims at, and the most groups there are.
-GROUP_ROWS, MOST_GROUPS = 500, 1 << 16
+#: Documents that one group of neighbours aims at, the most groups there are (whose bounds the driver holds), and the
+#: documents a group that are sampled to place the bounds, which steer the work only.
+GROUP_ROWS, MOST_GROUPS, SAMPLED = 500, 1 << 16, 8
 #: Searches are asked for the documents whose id this divides.
 ASKED = 100
 _LOWEST = -(1 << 63)
@@ -58,35 +62,51 @@ def _long_array(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _below(bounds: list[int], key: Column) -> Column:
-    """How many of the ascending bounds are below key: a binary search."""
-    steps, own = [1 << i for i in reversed(range(len(bounds).bit_length()))], _long_array(bounds)
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, s: F.when(F.get(own, at + s - 1) < key, at + s).otherwise(at))
+Bound = tuple[int, int]  # doc_id, hash of text
 
 
-def neighbour_bounds(docs: DataFrame) -> list[int]:
-    """Ascending ids that part docs into groups of about GROUP_ROWS; each is the largest id of its group."""
-    key = F.coalesce("doc_id", F.lit(_LOWEST))
-    n = docs.count()
-    groups = max(1, min(MOST_GROUPS, n // GROUP_ROWS))
-    shares = [i / groups for i in range(1, groups)] or [0.5]
-    rough = docs.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 10_000)).first()[0] if n else []
-    rough = sorted(set(rough or [0]))
-    tops = docs.groupBy(_below(rough, key).alias("g")).agg(F.max(key).alias("top"))
-    return sorted(r["top"] for r in tops.collect())  # a row per group
+def _below(bounds: list[Bound], key: Column, tie: Column) -> Column:
+    """How many of the ascending bounds are below (key, tie): a binary search."""
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    keys, ties = _long_array([k for k, _ in bounds]), _long_array([t for _, t in bounds])
+
+    def step(at: Column, s: Column) -> Column:
+        own, other = F.get(keys, at + s - 1), F.get(ties, at + s - 1)
+        return F.when((own < key) | ((own == key) & (other < tie)), at + s).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
 
-def in_groups(docs: DataFrame, bounds: list[int]) -> DataFrame:
-    """docs (doc_id, ...) with key, group and guest: each group also gets the row that follows its last, as a guest."""
-    placed = docs.withColumn("key", F.coalesce("doc_id", F.lit(_LOWEST))).withColumn("own", _below(bounds, F.col("key")))
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with the two by which they are in order: key and tie."""
+    return docs.withColumns({"key": F.coalesce("doc_id", F.lit(_LOWEST)), "tie": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def neighbour_bounds(docs: DataFrame) -> list[Bound]:
+    """Ascending bounds that part docs (doc_id, text) into groups of about GROUP_ROWS; each is the largest of its group."""
+    n = docs.count()
+    groups = max(1, min(MOST_GROUPS, n // GROUP_ROWS))
+    slim = _placed(docs).select("key", "tie")
+    sample = slim.sample(min(1.0, SAMPLED * groups / max(n, 1)), seed=1).agg(F.sort_array(F.collect_list(F.struct("key", "tie"))).alias("s"))  # of at most SAMPLED * MOST_GROUPS rows
+    picked = F.transform(F.sequence(F.lit(1), F.lit(groups)), lambda i: F.get("s", F.floor(i * F.size("s") / groups).cast("int") - 1))
+    rough = sample.select(F.array_compact(picked).alias("s")).first()["s"]
+    rough = sorted({(r["key"], r["tie"]) for r in rough}) or [(0, 0)]
+    tops = slim.groupBy(_below(rough, F.col("key"), F.col("tie")).alias("g")).agg(F.max(F.struct("key", "tie")).alias("top"))
+    return sorted((r["top"]["key"], r["top"]["tie"]) for r in tops.collect())  # a row per group
+
+
+def in_groups(docs: DataFrame, bounds: list[Bound]) -> DataFrame:
+    """docs (doc_id, text, ...) with key, tie, group and guest: each group also gets the row that follows its last, as a guest."""
+    placed = _placed(docs).withColumn("own", _below(bounds, F.col("key"), F.col("tie")))
     here, there = F.struct(F.col("own").alias("group"), F.lit(False).alias("guest")), F.struct(F.pmod(F.col("own") + 1, F.lit(len(bounds))).alias("group"), F.lit(True).alias("guest"))
-    places = F.when(F.get(_long_array(bounds), F.col("own")) == F.col("key"), F.array(here, there)).otherwise(F.array(here))
-    return placed.select("*", F.explode(places).alias("place")).select(*docs.columns, "key", "place.group", "place.guest")
+    top = (F.get(_long_array([k for k, _ in bounds]), F.col("own")) == F.col("key")) & (F.get(_long_array([t for _, t in bounds]), F.col("own")) == F.col("tie"))
+    places = F.when(top, F.array(here, there)).otherwise(F.array(here))
+    return placed.select("*", F.explode(places).alias("place")).select(*docs.columns, "key", "tie", "place.group", "place.guest")
 
 
-def edited(docs: DataFrame, bounds: list[int]) -> DataFrame:
+def edited(docs: DataFrame, bounds: list[Bound]) -> DataFrame:
     """Each document's text with its last third replaced from the next one, by descending doc_id."""
-    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("group").orderBy("guest", F.desc("key"), F.desc("tie"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     text = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.coalesce("next", F.lit("")), F.lit(1), third))
@@ -127,7 +147,9 @@ def within(fingerprints: DataFrame, asked: DataFrame, radius: int = RADIUS, bloc
     for i in used:
         first = first & ((F.col("t") <= i) | (F.bit_count(block(differ, i)) > spare[i]))
     # asked is small but its probes are not: they are never broadcast
-    return asked.select("*", F.inline(F.concat(*map(probe, used)))).join(stored.hint("merge"), (F.col("u") == F.col("t")) & (F.col("v") == F.col("k")) & (apart <= radius) & first).drop("t", "k", "u", "v")
+    probes = asked.select("*", F.inline(F.concat(*map(probe, used))))
+    met = probes.join(stored.hint("merge"), (F.col("u") == F.col("t")) & (F.col("v") == F.col("k")) & (apart <= radius) & first)
+    return met.drop("t", "k", "u", "v")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -135,7 +157,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     bounds = neighbour_bounds(slim)
     if not bounds:
-        bounds = [0]
+        bounds = [(0, 0)]
     rows = edited(slim, bounds).withColumn("rid", F.monotonically_increasing_id()).withColumn("sha", F.sha2("edited", 256))
     sides = F.when(F.col("guest"), F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body"))))
     keys = ["group", "guest", "key", "tie", "rid", "side", "doc_id", "n_chars", "sha"]
@@ -161,7 +183,7 @@ def _likeness(a: str, b: str) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, their likeness to the edited and the next text, and for every hundredth id
     near: the distinct fingerprints within RADIUS bits (its own included), and n_near: how many other documents have one of them."""
-    prints, path = saved(fingerprint(table(spark, sf_dir, "documents")), "prints")
+    prints, _ = saved(fingerprint(table(spark, sf_dir, "documents")), "prints")
     distinct = prints.groupBy("f0", "f1").agg(F.count(F.lit(1)).alias("copies"))
     searched = F.coalesce(F.col("doc_id") % ASKED == 0, F.lit(False))
     asked = prints.where(searched).select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct()
@@ -170,7 +192,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prints.where(searched).join(near, (F.col("f0") == F.col("q0")) & (F.col("f1") == F.col("q1"))).drop("q0", "q1")
     joined = found.unionByName(prints.where(~searched), allowMissingColumns=True)
     listed = F.sort_array(F.transform("near", lambda x: _hex([x[f"f{h}"] for h in range(HALVES)])))
-    out = joined.select("doc_id", "n_chars", "edited_sha256", _hex(_own("f")).alias("fingerprint"), _hex(_own("e")).alias("edited_fingerprint"), _likeness("f", "e").alias("near_edited"), _likeness("f", "n").alias("near_next"), "n_near", listed.alias("near"))
-    kept, _ = saved(out, "fingerprints")
-    drop_path(spark, path)
-    return kept
+    prints_of = {"fingerprint": _hex(_own("f")), "edited_fingerprint": _hex(_own("e")), "near_edited": _likeness("f", "e"), "near_next": _likeness("f", "n")}
+    return joined.select("doc_id", "n_chars", "edited_sha256", *[c.alias(n) for n, c in prints_of.items()], "n_near", listed.alias("near"))
