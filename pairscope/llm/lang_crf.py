@@ -8,7 +8,8 @@ a document's score for a language is the mean of its words' marginals.
 
 The field learns every language of the labels. It is fitted on a bounded, documented sample (PER_LANG documents a
 language, chosen by a hash of doc_id; of a longer text a run of words of at most MOST_CHARS characters, from a
-place chosen by that hash). All documents are labelled, whole, in sequences of up to STEPS words.
+place chosen by that hash). All documents are labelled, whole, in sequences of up to STEPS words, and so many words
+at a time that memory is bounded for texts and words of any length.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without training rows every text
 is; ties go to the language that sorts first; repeated rows and null ids are labelled like others (a null id is
@@ -33,6 +34,10 @@ from pairscope.llm.common import splitmix, table
 PER_LANG, MOST_CHARS = 800, 20_000
 #: Words of a sequence.
 STEPS = 32
+#: Words and bytes that are labelled at a time, and bytes of a word beyond which its grams are summed in pieces.
+WORDS_AT_ONCE, BYTES_AT_ONCE, LONG_WORD = 1 << 13, 1 << 17, 1 << 14
+#: Documents that a worker takes and gives at a time.
+ROWS_AT_ONCE = 512
 GRAM_BITS, LEXICON_BITS = 15, 16
 SEQUENCES, BATCH, EPOCHS, RATE, DECAY = 6_000, 200, 4, 0.3, 1e-6
 UNKNOWN = "und"
@@ -69,11 +74,15 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np
     keys = np.where(inside, own, np.uint64(0))
     for extra, values in enumerate((head & np.uint64(0xFFFF), head, tail)):
         keys[first + sizes + extra] = values | np.uint64((extra + 1) << 32)
-    index = (splitmix(keys + np.uint64(1)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+    index = _gram(keys)
     slot = (hashes >> np.uint64(64 - LEXICON_BITS)).astype(np.int64)
     return index, first, np.where(slots[slot] == hashes, slot, len(slots))
 
 
+def _gram(keys: np.ndarray) -> np.ndarray:
+    return (splitmix(keys + np.uint64(1)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+
+
 def _emissions(grams: np.ndarray, lexicon: np.ndarray, index: np.ndarray, first: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return np.add.reduceat(grams[index], first, axis=0) + lexicon[slot]
 
@@ -109,7 +118,7 @@ def _marginals(scores: np.ndarray, held: np.ndarray, steps: np.ndarray) -> tuple
 def _tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
     """Per chunk of rows: first row, lower-cased bytes and the words' starts, ends, rows and hashes."""
     data, offsets = common.text_buffers(pc.utf8_lower(column.cast(pa.large_string())))
-    for first, last in common.chunks(offsets, 1 << 19):
+    for first, last in common.chunks(offsets):
         part = data[offsets[first] : offsets[last]]
         starts, ends, rows, hashes = common.words(part, offsets[first : last + 1] - offsets[first], common.NOT_WORD)
         yield first, part, starts, ends, rows, hashes, last - first
@@ -179,19 +188,52 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     return Field(names, grams.astype(np.float32), lexicon.astype(np.float32), slots, steps.astype(np.float32))
 
 
+def _scores(field: Field, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Per word the sums of its features' weights, by language."""
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    index, first, slot = _features(data, starts, np.minimum(ends, starts + LONG_WORD), hashes, field.slots)
+    out = _emissions(field.grams, field.lexicon, index, first, slot)
+    for i in long:
+        out[i] = _long_score(field, data[starts[i] : ends[i]], int(slot[i]))
+    return out
+
+
+def _long_score(field: Field, word: np.ndarray, slot: int) -> np.ndarray:
+    """As _scores, of one long word. Its affixes come from a word of its first and last bytes, less that one's grams."""
+    total = np.zeros(len(field.langs))
+    for at in range(0, len(word), LONG_WORD):
+        part = np.concatenate([word[at : at + LONG_WORD + 2], np.zeros(2, dtype=np.uint8)]).astype(np.uint64)
+        own = part[:-2] | part[1:-1] << np.uint64(8) | part[2:] << np.uint64(16)
+        total += field.grams[_gram(own[: min(LONG_WORD, len(word) - at)])].sum(axis=0)
+    index, _, _ = _features(np.concatenate([word[:4], word[-4:]]), np.array([0]), np.array([8]), np.zeros(1, dtype=np.uint64), field.slots)
+    return (total + field.grams[index[-3:]].sum(axis=0) + field.lexicon[slot]).astype(field.grams.dtype)
+
+
+def _labelled(field: Field, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of words, whole sequences each, with their words' probabilities of the languages."""
+    begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    place = (np.arange(len(rows)) - np.repeat(begin, np.diff(np.append(begin, len(rows))))) % STEPS
+    heads, at = np.append(np.flatnonzero(place == 0), len(rows)), 0
+    while at < len(heads) - 1:
+        first = int(heads[at])
+        upto = min(first + WORDS_AT_ONCE, int(np.searchsorted(starts, starts[first] + BYTES_AT_ONCE)))
+        stop = max(int(np.searchsorted(heads, upto, side="right")) - 1, at + 1)
+        last = int(heads[stop])
+        low, own = int(starts[first]), slice(first, last)
+        scores = _scores(field, part[low : int(ends[last - 1])], starts[own] - low, ends[own] - low, hashes[own])
+        sequence = np.cumsum(place[own] == 0) - 1
+        padded = np.zeros((sequence[-1] + 1, STEPS, len(field.langs)), dtype=np.float32)
+        held = np.zeros(padded.shape[:2], dtype=bool)
+        padded[sequence, place[own]] = scores
+        held[sequence, place[own]] = True
+        found, _ = _marginals(padded, held, field.steps)
+        yield first, last, found[sequence, place[own]]
+        at = stop
+
+
 def word_marginals(field: Field, part: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Per word the probabilities of the languages."""
-    index, first, slot = _features(part, starts, ends, hashes, field.slots)
-    scores = _emissions(field.grams, field.lexicon, index, first, slot)
-    begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    place = np.arange(len(rows)) - np.repeat(begin, np.diff(np.append(begin, len(rows))))
-    sequence = np.cumsum(place % STEPS == 0) - 1
-    padded = np.zeros((sequence[-1] + 1, STEPS, len(field.langs)), dtype=np.float32)
-    held = np.zeros(padded.shape[:2], dtype=bool)
-    padded[sequence, place % STEPS] = scores
-    held[sequence, place % STEPS] = True
-    found, _ = _marginals(padded, held, field.steps)
-    return found[sequence, place % STEPS]
+    return np.concatenate([found for _, _, found in _labelled(field, part, starts, ends, rows, hashes)])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -221,32 +263,44 @@ def train(docs: DataFrame) -> Field | None:
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
-def predict(docs: DataFrame, field: Field | None) -> DataFrame:
-    """Adds __lang and __score to docs by their text."""
-    names = [*docs.columns, "__lang", "__score"]
+def _judged(field: Field | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The best language of each text, and its share of the words' probabilities."""
+    langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if field is not None:
+        letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        for first, part, starts, ends, rows, hashes, n in _tokens(texts):
+            if not len(starts):
+                continue
+            total = np.zeros((n, len(field.langs)))
+            for a, b, found in _labelled(field, part, starts, ends, rows, hashes):
+                low, high = int(rows[a]), int(rows[b - 1]) + 1
+                for j in range(len(field.langs)):
+                    total[low:high, j] += np.bincount(rows[a:b] - low, weights=found[:, j], minlength=high - low)
+            best = total.argmax(axis=1)
+            sums = total.sum(axis=1)
+            for i in np.flatnonzero((sums > 0) & letters[first : first + n]):
+                langs[first + i], scores[first + i] = field.langs[best[i]], min(1.0, total[i, best[i]] / sums[i])
+    return pa.array(langs, pa.string()), pa.array(scores, pa.float64())
+
+
+def predict(docs: DataFrame, field: Field | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds the predicted language and its score to docs by their text, under names that docs hasn't."""
+    names = [*docs.columns, lang, score]
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.working("lang_crf")
         own = shared.value
         for batch in batches:
-            langs, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            if own is not None:
-                letters = pc.fill_null(pc.match_substring_regex(batch.column(at), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                for first, part, starts, ends, rows, hashes, n in _tokens(batch.column(at)):
-                    if not len(starts):
-                        continue
-                    found = word_marginals(own, part, starts, ends, rows, hashes)
-                    total = np.stack([np.bincount(rows, weights=found[:, j], minlength=n) for j in range(len(own.langs))], axis=1)
-                    best = total.argmax(axis=1)
-                    sums = total.sum(axis=1)
-                    for i in np.flatnonzero((sums > 0) & letters[first : first + n]):
-                        langs[first + i], scores[first + i] = own.langs[best[i]], min(1.0, total[i, best[i]] / sums[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(first, ROWS_AT_ONCE)
+                langs, scores = _judged(own, part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, langs, scores], names=names)
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,13 +308,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = train(docs.select("doc_id", "text", "lang"))
     found = predict(docs.select("doc_id", "text"), field)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no language can be told, or with a score below MIN_SCORE, are rejected."""
-    found = predict(docs, train(docs.select("doc_id", "text", "lang")))
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+    own = common.free_names(docs.columns, "lang", "score")
+    found = predict(docs, train(docs.select("doc_id", "text", "lang")), own["lang"], own["score"])
+    return found.where((F.col(own["lang"]) != UNKNOWN) & (F.col(own["score"]) >= MIN_SCORE)).select(*docs.columns)
 
 
 #: Least mean marginal of the predicted language that the pipeline accepts.
