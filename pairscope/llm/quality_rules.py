@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope.llm import common
-from pairscope.llm.common import drop_path, saved, table
+from pairscope.llm.common import saved, table
 
 #: Bound of the training sample.
 MOST_ROWS = 20_000
@@ -199,9 +199,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Rules:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of all documents."""
-    stats, path = saved(statistics(table(spark, sf_dir, "documents")), "statistics")
+    stats, _ = saved(statistics(table(spark, sf_dir, "documents")), "statistics")
     score = train(stats, table(spark, sf_dir, "labels")).score()
     out = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
-    kept, _ = saved(out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")), "quality")
-    drop_path(spark, path)
-    return kept
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairscope.llm import sstable
-from pairscope.llm.common import drop_path, saved, scratch, table
+from pairscope.llm import common, sstable
+from pairscope.llm.common import saved, scratch, table
 
 END_ID = 2
 #: Distinct words whose ids a worker remembers at most, in each of two generations.
@@ -152,6 +152,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     from pyspark.sql import types as T
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.working("token_output", word_encoder.cache_clear)
         encoder, writer, first, shard = word_encoder(tokenizer_path), None, None, TaskContext.get().partitionId()
         end, width = np.array([end_id], dtype=encoder.dtype).tobytes(), encoder.dtype.itemsize
         for batch in batches:
@@ -206,8 +207,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = scratch(spark, "shards")
-    manifest, path = saved(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder), "manifest")
-    digest, _ = saved(read_shards(manifest, folder), "token-digest")
-    drop_path(spark, folder)
-    drop_path(spark, path)
-    return digest
+    manifest, _ = saved(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder), "manifest")
+    return read_shards(manifest, folder)
