@@ -86,6 +86,47 @@ def test_quality_learns(spark):
     assert sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
 
 
+def statistics_by_hand(text):
+    """Every statistic of a text, counted in plain Python over its UTF-8 bytes."""
+    from math import log1p
+
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    low = [w.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for w in words]
+    size, n = max(len(raw), 1), max(len(words), 1)
+    out = {"log_bytes": log1p(len(raw)), "log_words": log1p(len(words))}
+    for name, held in {"upper": str.isupper, "digits": str.isdigit, "marks": lambda c: not c.isalnum() and "!" <= c <= "~", "pipes": "|".__contains__, "bangs": "!?".__contains__, "symbols": "#$%&*@^~<>{}[]\\=+_".__contains__, "stops": ".,;:".__contains__, "lines": "\n".__contains__}.items():
+        out[name] = sum(b < 128 and held(chr(b)) for b in raw) / size
+    out["non_ascii"] = sum(b >= 128 for b in raw) / size
+    out["word_bytes"], out["longest_word"] = sum(map(len, words)) / n, log1p(max(map(len, words))) if words else 0
+    out["short_words"], out["capitals"] = sum(len(w) <= 3 for w in words) / n, sum(65 <= w[0] <= 90 for w in words) / n
+    counts = Counter(low)
+    out["distinct"], out["top_word"] = len(counts) / n, max(counts.values(), default=0) / n
+    out["repeats"] = sum(a == b for a, b in zip(low, low[1:])) / n
+    return [out[name] for name in quality_rules.STATISTICS]
+
+
+def test_statistics_match_brute_force(spark, docs):
+    texts = [t for _, t, *_ in docs if t is None or len(t) < 100_000] + ["The THE the end. End!", "|| a#b\tc\n\nD", "é É é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality_rules.statistics(df).collect()}
+    for i, t in enumerate(texts):
+        assert [rows[i][name] for name in quality_rules.STATISTICS] == pytest.approx(statistics_by_hand(t)), i
+
+
+def test_scores_match_the_rules_by_hand(spark, docs):
+    from math import exp
+
+    values = np.array([statistics_by_hand(t) for _, t, *_ in docs if t is None or len(t) < 100_000])
+    labels = ((values[:, 0] > 5.5) ^ (values[:, 7] > 0.01)).astype(int)
+    rules = quality_rules.fit(values, labels)
+    assert 1 < len(rules.rules) < 60 and max(map(len, rules.rules)) <= quality_rules.DEPTH
+    df = spark.createDataFrame([[i, *map(float, v)] for i, v in enumerate(values)], ["doc_id", *quality_rules.STATISTICS])
+    for r in df.select("doc_id", rules.score().alias("score")).collect():
+        held = [w for w, rule in zip(rules.weights, rules.rules) if all((values[r.doc_id][i] > cut) == above for i, above, cut in rule)]
+        assert r.score == pytest.approx(1 / (1 + exp(-rules.bias - sum(held)))), r.doc_id
+
+
 def test_rules_of_one_class_and_none():
     assert quality_rules.fit(np.zeros((0, 18)), np.zeros(0, dtype=int)).bias == 0
     assert quality_rules.fit(np.zeros((3, 18)), np.ones(3, dtype=int)).bias > 30
@@ -131,6 +172,95 @@ def test_pieces_on_random_texts(library):
         assert machine.decode(ids) == text.replace("▁", " ")
 
 
+def hand_made(folder, kind, rule=None, byte_fallback=True, trim=False, prefix=True):
+    """A model of pieces and scores written down here, not trained: kind 1 is unigram, 2 is BPE."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = kind, byte_fallback
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = prefix, trim, True
+    if rule:
+        spec = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec()
+        model.normalizer_spec.precompiled_charsmap = proto.NormalizerSpec.FromString(spec).precompiled_charsmap
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    rows += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if byte_fallback else []
+    words = ["▁", "a", "b", "c", "e", "i", "n", "t", "h", "é", "f", "1", "2", ".", "th", "he", "in", "the", "▁t", "▁th", "▁the", "ab", "bc", "abc", "an", "▁a", "▁an", "▁▁", "fi", "ca", "12", "t.", "nt"]
+    words = [w for w in words if kind == 2 or w != "▁▁"]  # orders of "▁" and "▁▁" weigh the same; the library's rounding picks one
+    rows += [(w, -1.0 - 0.37 * n - 0.013 * n * n, 1) for n, w in enumerate(sorted(words, key=lambda w: (-len(w), w)))]
+    for piece, score, t in rows:
+        model.pieces.add(piece=piece, score=score, type=t)
+    path = f"{folder}/{kind}-{rule}-{byte_fallback}-{trim}-{prefix}.model"
+    with open(path, "wb") as f:
+        f.write(model.SerializeToString())
+    return path
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("rule, byte_fallback, trim, prefix", [(None, True, False, True), (None, True, True, True), (None, False, False, True), ("nmt_nfkc", True, True, True), ("nfkc_cf", True, False, True), ("nmt_nfkc", False, True, False), (None, True, False, False)])
+def test_machines_of_hand_made_models(tmp_path, kind, rule, byte_fallback, trim, prefix):
+    import random
+
+    import sentencepiece
+
+    path = hand_made(tmp_path, kind, rule, byte_fallback, trim, prefix)
+    other, machine, rng = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Pieces(path), random.Random(kind)
+    parts = ["a", "b", "c", "the", "th", "in", "é", "é", "ﬁ", "①", "２", "Ａ", "12", ".", " ", "  ", "\t", "\n", "　", "日", "😀", "▁", "ab", "z", "\u200b", "ｶﾞ", "½"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        ids = np.frombuffer(machine.encode(text), dtype="<i4").tolist()
+        assert ids == other.encode(text), repr(text)
+        if byte_fallback:
+            assert machine.decode(ids) == other.decode(ids), repr(text)
+
+
+def test_shortest_paths_match_enumeration():
+    import random
+
+    rng = random.Random(12)
+    for n in [1, 2, 3, 6, 7] * 20:
+        arcs = {at: [(end, token, rng.randint(1, 30) / 4) for token, end in enumerate(range(at + 1, min(n, at + 3) + 1), 10 * at)] for at in range(n)}
+        ways = []
+
+        def walk(at, weight, tokens):
+            if at == n:
+                ways.append((weight, tokens))
+            for end, token, w in arcs.get(at, ()):
+                walk(end, weight + w, [*tokens, token])
+
+        walk(0, 0.0, [])
+        best = sentence_pieces.shortest_path(n, arcs.__getitem__, None, lambda t: True)
+        assert next(w for w, t in ways if t == best) == min(w for w, _ in ways)
+        allowed = [t for _, t in ways if all((a + b) % 3 for a, b in zip(t, t[1:]))]
+        if allowed:
+            zero = {at: [(e, t, 0.0) for e, t, _ in found] for at, found in arcs.items()}
+            assert sentence_pieces.shortest_path(n, zero.__getitem__, lambda a, b: bool((a + b) % 3), lambda t: True) in allowed
+
+
+def test_what_is_remembered_is_bounded_and_dropped(monkeypatch, library):
+    monkeypatch.setattr(sentence_pieces, "MEMORY_PARTS", 50)
+    monkeypatch.setattr(sentence_pieces, "MEMORY_PAIRS", 60)
+    machine = sentence_pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    text = " ".join(f"word{i}x{i * 7919}, tail{'!' * (i % 9)}" for i in range(3000)) + " " + "long" * 5000
+    assert np.frombuffer(machine.encode(text), dtype="<i4").tolist() == library.encode(text)
+    assert len(machine.known) <= 52 and len(machine.older) <= 52 and len(machine.merges.pairs) <= 62 and max(map(len, machine.known)) <= sentence_pieces.MEMORY_CHARS
+    gone = []
+    monkeypatch.setattr(common, "_held", {})
+    common.working("one", lambda: gone.append("one"))
+    common.working("one", lambda: gone.append("one"))
+    assert gone == []
+    common.working("two")
+    common.working("three", lambda: gone.append("three"))
+    assert gone == ["one"]
+
+
+def test_pieces_of_odd_tables(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [(1, "same"), (1, "same"), (None, "same"), (None, None), (2, "")]
+    got = sentence_pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    assert Counter((r.doc_id, r.n_ids, r.round_trip) for r in got) == Counter([(1, 1, True), (1, 1, True), (None, 1, True), (None, 0, True), (2, 0, True)])
+
+
 def test_pieces_keep_other_columns(spark):
     df = spark.createDataFrame([(1, "a b", 7.5, "x")], "doc_id long, text string, ids double, other string")
     assert sentence_pieces.encode(df, public_tokenizers.path("piece_bpe_32k.model")).columns == ["doc_id", "text", "other", "ids", "n_ids", "round_trip"]
@@ -188,6 +318,91 @@ def test_code_switching_is_labelled_by_word():
     assert best[:9] == ["en"] * 9 and best[10:] == ["fr"] * (len(best) - 10)
 
 
+def word_features(word):
+    """A word's grams as their keys, in plain Python: byte trigrams up to its end, then the three affixes."""
+    padded = word + b"\0\0"
+    grams = [padded[i] | padded[i + 1] << 8 | padded[i + 2] << 16 for i in range(len(word))]
+    head, tail = (int.from_bytes(x[:4].ljust(4, b"\0"), "little") for x in (word, word[::-1]))
+    return grams + [head & 0xFFFF | 1 << 32, head | 2 << 32, tail | 3 << 32]
+
+
+def document_by_hand(field, text):
+    """The summed marginals of a text of few words, by enumeration of all labellings of each sequence."""
+    from itertools import product
+
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text.lower().encode())
+    k, total = len(field.langs), np.zeros(len(field.langs))
+    hashes = {w: common.words(np.frombuffer(w, dtype=np.uint8), np.array([0, len(w)]), common.NOT_WORD)[3][0] for w in words}
+    slots = {w: int(h >> np.uint64(64 - lang_crf.LEXICON_BITS)) for w, h in hashes.items()}
+    scores = [field.grams[lang_crf._gram(np.array(word_features(w), dtype=np.uint64))].sum(axis=0) + field.lexicon[slots[w] if field.slots[slots[w]] == hashes[w] else len(field.slots)] for w in words]
+    for at in range(0, len(words), lang_crf.STEPS):
+        own = scores[at : at + lang_crf.STEPS]
+        weight = {p: np.exp(sum(s[y] for s, y in zip(own, p)) + sum(field.steps[a, b] for a, b in zip(p, p[1:]))) for p in product(range(k), repeat=len(own))}
+        z = sum(weight.values())
+        for p, w in weight.items():
+            for y in p:
+                total[y] += w / z
+    return total
+
+
+@pytest.fixture(scope="module")
+def small_field():
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(13)
+    texts = [(prose(rng, lang, 40), lang) for lang in ("en", "fr", "de") for _ in range(12)]
+    return lang_crf.fit([t for t, _ in texts], [lang for _, lang in texts])
+
+
+def test_document_scores_match_enumeration(spark, small_field, monkeypatch):
+    monkeypatch.setattr(lang_crf, "STEPS", 4)
+    monkeypatch.setattr(lang_crf, "WORDS_AT_ONCE", 5)
+    texts = ["the river und der Fluss", "le", "der die das und nicht le la les des the of and", "unseen Wörter été", "a1 the, of; Lumière"]
+    import pyarrow as pa
+
+    for text in texts:
+        _, part, starts, ends, rows, hashes, n = next(lang_crf._tokens(pa.array([text], pa.large_string())))
+        got = lang_crf.word_marginals(small_field, part, starts, ends, rows, hashes).sum(axis=0)
+        assert got == pytest.approx(document_by_hand(small_field, text), rel=1e-4), text
+
+
+def test_predictions_name_the_best_language(spark, small_field):
+    texts = ["the river of light", "le jardin des pierre", "der garten und das haus", "the le", "42 !!", None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string").withColumnRenamed("score", "__lang")
+    for r in lang_crf.predict(df, small_field).collect():
+        if r.doc_id >= 4:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = document_by_hand(small_field, texts[r.doc_id])
+        assert r.lang_pred == small_field.langs[int(total.argmax())] and r.score == pytest.approx(total.max() / total.sum(), rel=1e-4)
+
+
+def test_ties_go_to_the_first_language(spark):
+    k = 3
+    field = lang_crf.Field(["aa", "bb", "cc"], np.zeros((1 << lang_crf.GRAM_BITS, k), dtype=np.float32), np.zeros(((1 << lang_crf.LEXICON_BITS) + 1, k), dtype=np.float32), np.zeros(1 << lang_crf.LEXICON_BITS, dtype=np.uint64), np.zeros((k, k), dtype=np.float32))
+    row = lang_crf.predict(spark.createDataFrame([(1, "some words here")], "doc_id long, text string"), field).first()
+    assert row.lang_pred == "aa" and row.score == pytest.approx(1 / 3)
+
+
+def test_long_words_and_texts_are_labelled_in_pieces(small_field, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["the " + "ab" * 5000 + " le jardin " + "é" * 3001, "x" * 9999, "der die das " * 3000]
+    parts = list(lang_crf._tokens(pa.array(texts, pa.large_string())))
+    whole = [lang_crf.word_marginals(small_field, *p[1:6]) for p in parts]
+    monkeypatch.setattr(lang_crf, "LONG_WORD", 64)
+    monkeypatch.setattr(lang_crf, "BYTES_AT_ONCE", 3000)
+    for p, want in zip(parts, whole, strict=True):
+        assert lang_crf.word_marginals(small_field, *p[1:6]) == pytest.approx(want, abs=1e-3)
+
+
+def test_the_stage_keeps_clashing_columns(spark, odd):
+    df = spark.read.parquet(f"{odd}/documents.parquet").withColumnsRenamed({"th": "__lang", "later": "__score"})
+    assert lang_crf.stage(spark, df, odd).columns == df.columns
+
+
 def test_rare_languages_and_long_texts_are_learned(spark, monkeypatch):
     import random
 
@@ -208,7 +423,7 @@ def test_rare_languages_and_long_texts_are_learned(spark, monkeypatch):
     assert all(set(t.split()) <= words for t in runs if "xx" not in t and "yy" not in t)
     few = spark.createDataFrame([(i, prose(rng, "de", 60), "de") for i in range(60)] + [(i, t, "fr") for i, t in long.items() if i < 3100], df.schema)
     held = spark.createDataFrame([(1, prose(rng, "fr", 30))], "doc_id long, text string")
-    assert lang_crf.predict(held, lang_crf.train(few)).first()["__lang"] == "fr"
+    assert lang_crf.predict(held, lang_crf.train(few)).first()["lang_pred"] == "fr"
 
 
 # op5
@@ -275,17 +490,18 @@ def test_shards_find_keys(tmp_path):
 
 
 def deduplicated(rows):
-    """Brute force over (id, text), ids unique and in order."""
+    """Brute force over (id, text), ids unique and in order (None first). A text of one or two lines is a window of its own."""
     seen, out = set(), {}
-    for i, text in sorted(rows):
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = text.split("\n")
         gone = set()
-        for p in range(len(lines) - 2):
+        starts = range(len(lines) - 2) if len(lines) > 2 else [0]
+        for p in starts:
             run = tuple(lines[p : p + 3])
             if all(x.strip(" ") == "" for x in run):
                 continue
             if run in seen:
-                gone |= {p, p + 1, p + 2}
+                gone |= set(range(p, p + len(run)))
             seen.add(run)
         out[i] = ("\n".join(x for p, x in enumerate(lines) if p not in gone), len(gone))
     return out
@@ -295,10 +511,13 @@ def test_lines(spark, odd, docs):
     rows = line_dedup.query(spark, odd).collect()
     assert Counter(r.doc_id for r in rows) == Counter(d[0] for d in docs)
     # rows equal in id and text count as one
-    want = deduplicated({(d[0], d[1]) for d in docs if d[0] is not None and d[1] is not None})
+    want = deduplicated({(d[0], d[1]) for d in docs if d[1] is not None})
     for r in rows:
-        if r.doc_id is not None and r.text is not None:
+        if r.text is None:
+            assert (r.n_lines, r.n_removed) == (0, 0)
+        else:
             assert (r.text, r.n_removed) == want[r.doc_id], r.doc_id
+    assert sum(r.text is None for r in rows) == 2
     assert want[100][0] == "" and want[132][1] > 500
 
 
@@ -306,15 +525,17 @@ def test_lines_keep_columns(spark, odd):
     df = spark.read.parquet(f"{odd}/documents.parquet").withColumnRenamed("source", "n_lines")
     assert line_dedup.stage(spark, df, odd).columns == df.columns
     assert line_dedup.dedup(df).columns == [c for c in df.columns if c != "n_lines"] + ["n_lines", "n_removed"]
+    inner = df.withColumnsRenamed({"th": "__th", "later": "__later", "lang": "__removed", "n_chars": "__ID"})
+    assert line_dedup.stage(spark, inner, odd).columns == inner.columns
+    assert {tuple(r) for r in line_dedup.stage(spark, inner, odd).select("doc_id", "text").collect()} == {tuple(r) for r in line_dedup.stage(spark, df, odd).select("doc_id", "text").collect()}
 
 
-def test_repeated_short_texts_go_in_the_stage(spark, odd):
+def test_repeated_short_texts_go(spark, odd):
     rows = [(1, "one line"), (2, "one line"), (2, "one line"), (3, "two\nlines"), (4, "two\nlines"), (5, "two lines"), (6, "one line\n"), (7, "two\nlines\nand more"), (8, ""), (9, ""), (10, " \n "), (11, " \n "), (12, None), (13, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in line_dedup.stage(spark, df, odd).collect()) == [1, 3, 5, 6, 7, 8, 9, 10, 11, 12, 13]
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(df, short=True).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(df).collect()}
     assert got[2] == ("", 1, 1) and got[3] == ("two\nlines", 2, 0) and got[4] == ("", 2, 2) and got[7][2] == 0
-    assert all(r.n_removed == 0 for r in line_dedup.dedup(df).collect())
 
 
 # op7
@@ -338,6 +559,36 @@ def test_templates_that_rewrite_history_are_found():
     assert chat_format.render(turns, chat_format.turns_template).rewrites is None
 
 
+def test_altered_texts_are_reported(spark):
+    turns = [("user", "Hi"), ("assistant", "Yes"), ("assistant", "no"), ("assistant", "OK")] * 20
+
+    def lowering(ts):
+        return "".join(f"<{r}>{x.lower()}\n" for r, x in ts)
+
+    out = chat_format.render(turns, lowering)
+    assert out.text == lowering(turns) and out.rewrites is None and len(out.spans) == 80
+    assert out.altered == [i for i, (r, x) in enumerate(turns) if r == "assistant" and x != x.lower()]
+    assert [out.text[a:b] for a, b in out.loss] == ["no"] * 20
+    rows = spark.createDataFrame([(1, i, r, x) for i, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    assert chat_format.format_conversations(rows, lowering, lambda x: x).first().altered == out.altered
+    pieces = chat_format.Pieces("", lambda r, x: f"<{r}>{x.lower()}\n")
+    assert chat_format.render(turns, pieces) == out
+
+
+@pytest.mark.parametrize("n", [64, 65, 70, 1000])
+def test_templates_of_all_kinds_at_all_lengths(n):
+    turns = [("user" if i % 2 == 0 else "assistant", f"Text {i}") for i in range(n)]
+    counted = chat_format.render(turns, lambda ts: "".join(f"{i}:{x};" for i, (_, x) in enumerate(ts)))
+    assert counted.rewrites is None and [counted.text[a:b] for a, b in counted.loss] == [x for r, x in turns if r == "assistant"]
+    lowered = chat_format.render(turns, lambda ts: "".join(f"{x.lower()};" for _, x in ts))
+    assert lowered.altered == list(range(1, n, 2)) and lowered.loss == [] and len(lowered.spans) == n
+    for first in {1, 2, 63, n - 1}:
+        def late(ts, first=first):
+            return ("B" if len(ts) > first else "A") + "".join(x for _, x in ts)
+
+        assert chat_format.render(turns, late).rewrites == first
+
+
 def numbered(turns):
     assert not turns or turns[0][0] == "user"
     return "".join(f"[{n} {r}] {x}\n" for n, (r, x) in enumerate(turns))
@@ -437,6 +688,57 @@ def test_join_of_near_copies(spark):
     assert {tuple(r) for r in ngram_join.links(df).collect()} == want and len(want) > 10
 
 
+def test_join_of_hot_shingles_repeats_and_null_ids(spark):
+    """One passage in all documents, two thousand rows of one id, as many without an id, and tiny documents of hot words alone."""
+    import random
+
+    rng = random.Random(21)
+    passage = "these words stand in every single document here"
+    rows = [(i, passage + " " + " ".join(f"x{rng.randint(0, 400)}" for _ in range(rng.randint(0, 30)))) for i in range(400)]
+    rows += [(1000 + i, passage if i % 2 else passage + " end") for i in range(40)]
+    base = [f"b{i}" for i in range(60)]
+    rows += [(2000 + i, " ".join(base[:i] + [f"e{i}"] + base[i + 1 :])) for i in range(0, 60, 6)]
+    many = [(5007, "same id same text as all of these rows have"), (None, "no id and the same text in all of these rows")]
+    near = [(5008, "same id same text as all of these rows have"), (5009, "no id and the same text in all of these rows")]
+    df = spark.createDataFrame([*rows, *near, *(many * 2000)], "doc_id long, text string").repartition(6)
+    got = keyed(ngram_join.join(df).collect(), "doc_id", "n_shingles", "component_id")
+    want = Counter(linked([*rows, *near, *many], 4, 85))
+    want[next(k for k in want if k[0] is None)] += 1999
+    want[next(k for k in want if k[0] == 5007)] += 1999
+    assert got == want
+
+
+def test_the_stage_keeps_one_row_of_each_component(spark, odd):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(5, text, 1), (5, text.upper(), 2), (5, text, 3), (5, "another text of the same id that stands on its own", 4), (6, text, 5)]
+    rows += [(None, "without an id but with words enough to be a copy", 6)] * 3 + [(None, "without an id but with other words of its own here", 7), (None, None, 8), (None, None, 9), (8, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone int")
+    kept = ngram_join.stage(spark, df, odd)
+    assert kept.columns == df.columns
+    got = Counter((r.doc_id, None if r.text is None else r.text.lower()) for r in kept.collect())
+    assert got == Counter([(5, text), (5, rows[3][1]), (None, rows[5][1]), (None, rows[8][1]), (None, None), (None, None), (8, "")])
+
+
+def test_signatures_and_bands_never_part_a_link(spark):
+    import random
+
+    rng = random.Random(17)
+    pairs = []
+    for percent in (80, 85, 95):
+        for n in (1, 2, 5, 19, 20, 21, 100, 700):
+            one = np.array(sorted(rng.getrandbits(64) for _ in range(n)), dtype=np.uint64)
+            for drop in {0, n * (100 - percent) // 100}:
+                two = one[drop:]
+                pairs.append((percent, len(one), len(two), ngram_join._parity(one).tolist(), ngram_join._parity(two).tolist(), 100 * len(two) >= percent * len(one)))
+    df = spark.createDataFrame(pairs, "percent int, n1 int, n2 int, s1 array<bigint>, s2 array<bigint>, linked boolean")
+    from pyspark.sql import functions as F
+
+    for percent in (80, 85, 95):
+        own = df.where(F.col("percent") == percent).where("linked")
+        apart = F.abs(ngram_join._band(F.col("n1"), percent) - ngram_join._band(F.col("n2"), percent))
+        assert own.where(~ngram_join._may_differ(F.col("n1"), F.col("n2"), F.col("s1"), F.col("s2"), percent) | (apart > 1)).count() == 0 and own.count() > 8
+
+
 def test_components_of_a_chain(spark):
     from pairscope.llm.graph import components
 
@@ -466,21 +768,38 @@ def simhash(text):
 def test_fingerprints(spark, odd, docs):
     rows = fingerprints.query(spark, odd).collect()
     assert Counter(r.doc_id for r in rows) == Counter(d[0] for d in docs)
-    texts = {d[0]: d[1] or "" for d in docs if d[0] is not None}
-    ids = sorted(texts, reverse=True)
-    prints = {i: simhash(texts[i]) for i in ids}
-    for r in rows:
-        if r.doc_id is None or r.doc_id == ids[-1]:
-            continue
-        i, after = r.doc_id, ids[ids.index(r.doc_id) + 1]
-        if i == 5 and r.near_next == 1.0:
-            after = 5  # the id occurs twice: its next one is its own copy
-        n, third = len(texts[i]), len(texts[i]) // 3
-        edit = texts[i][: n - third] + texts[after][:third]
-        assert r.n_chars == n and r.edited_sha256 == hashlib.sha256(edit.encode()).hexdigest(), i
-        assert int(r.fingerprint, 16) == prints[i] and int(r.edited_fingerprint, 16) == simhash(edit)
-        assert r.near_edited == pytest.approx(1 - (prints[i] ^ simhash(edit)).bit_count() / 128)
-        assert r.near_next == pytest.approx(1 - (prints[i] ^ prints[after]).bit_count() / 128)
+    want = neighbours([(d[0], d[1]) for d in docs])
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, int(r.fingerprint, 16), int(r.edited_fingerprint, 16), round(r.near_edited, 9), round(r.near_next, 9)) for r in rows)
+    assert got == want
+
+
+def neighbours(rows):
+    """Brute force: rows by descending id (none last), then descending hash of the text; each with the next one, after the last the first."""
+
+    def signed(text):
+        x = xxhash.xxh64_intdigest(text.encode(), seed=42)
+        return x - (1 << 64) if x >> 63 else x
+
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])), reverse=True)
+    prints, out = {t: simhash(t) for _, t in order}, Counter()
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        third = len(text) // 3
+        edit = text[: len(text) - third] + after[:third]
+        likeness = [round(1 - (prints[text] ^ x).bit_count() / 128, 9) for x in (simhash(edit), prints[after])]
+        out[(i, len(text), hashlib.sha256(edit.encode()).hexdigest(), prints[text], simhash(edit), *likeness)] += 1
+    return out
+
+
+def test_many_rows_of_one_id_and_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "GROUP_ROWS", 20)
+    rows = [(None, f"row {i} has no id") for i in range(700)] + [(5, f"row {i} of id five") for i in range(700)] + [(i, f"text {i}") for i in range(3, 40)] + [(5, "row 3 of id five")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bounds = fingerprints.neighbour_bounds(df)
+    sizes = fingerprints.in_groups(df, bounds).groupBy("group").count().collect()
+    assert len(bounds) > 30 and max(r["count"] for r in sizes) < 120
+    got = fingerprints.fingerprint(df).collect()
+    want = neighbours(rows)
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sum((Counter({k[:3]: n}) for k, n in want.items()), Counter())
 
 
 def test_next_wraps_around(spark, tmp_path):
@@ -581,9 +900,37 @@ def test_contamination(spark, odd, docs):
     assert {(160, 0), (160, 5), (124, 1), (125, None), (126, None)} <= {(d, i) for d, i, *_ in want} and not any(d == 162 for d, *_ in want)
 
 
+def test_a_document_that_holds_every_item(spark, tmp_path, monkeypatch):
+    import random
+
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 600)
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(6, 40)))) for i in range(150)]
+    rows = [(1, " ".join(t for _, t in items)), (2, items[7][1]), (2, items[7][1]), (None, items[9][1] + " tail"), (3, "nothing"), (4, None)]
+    for name, data, schema in (("documents", rows, "doc_id long, text string"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = keyed(decontaminate.query(spark, str(tmp_path)).collect(), "doc_id", "item_id", "shared", "n_shingles")
+    assert got == contained(rows, items) and len(got) == 152
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet").selectExpr("*", "1 AS __id")
+    kept = decontaminate.stage(spark, df, str(tmp_path))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
 # shared pieces
 
 
+@pytest.mark.parametrize("sizes", [[3000, 20, 2500], [1, 9000], [2001], [999, 1000, 1001, 2000], [5000, 5000]])
+def test_long_words_are_hashed_in_pieces(monkeypatch, sizes):
+    import pyarrow as pa
+
+    texts = [" ".join("abcdefghij"[i % 10] * n for i, n in enumerate(sizes)), "", "x" * 4000, " " * 3500 + "y", "z " * 2500, None, "q" * 10]
+    data, offsets = common.text_buffers(pa.array(texts))
+    whole = common._words(data, offsets, common.SPACES)
+    monkeypatch.setattr(common, "CHUNK_BYTES", 500)
+    for a, b in zip(common.words(data, offsets, common.SPACES), whole, strict=True):
+        assert (a == b).all()
+
+
 def test_words_of_long_texts_come_in_pieces(monkeypatch):
     import pyarrow as pa
 
