@@ -154,7 +154,7 @@ def append_new(results: DataFrame, path: str, keys: list[str]) -> int:
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """The files under path: file and length. Their contents are not read."""
+    """The files under path that aren't empty: file and length. Their contents are not read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
 
 

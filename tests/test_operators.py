@@ -189,7 +189,33 @@ def test_append_resumes(spark, tmp_path):
     path = str(tmp_path / "done")
     assert io.append_new(spark.range(5), path, ["id"]) == 5
     assert io.append_new(spark.range(8), path, ["id"]) == 3
-    assert spark.read.parquet(path).count() == 8
+    assert spark.read.parquet(path).count() == 8 and io.append_new(spark.range(8), path, ["id"]) == 0
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):  # an unreadable table isn't taken for no table
+        io.append_new(spark.range(3), str(tmp_path / "broken"), ["id"])
+
+
+def test_digests_read_in_chunks(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "files").mkdir()
+    for name, raw in (("a.bin", b"x" * 5000), ("b.bin", b"y")):
+        (tmp_path / "files" / name).write_bytes(raw)
+    found = io.file_digests(spark, str(tmp_path / "files"), chunk=64)
+    assert {r.file.rsplit("/", 1)[1]: r.sha256 for r in found.collect()} == {"a.bin": hashlib.sha256(b"x" * 5000).hexdigest(), "b.bin": hashlib.sha256(b"y").hexdigest()}
+    assert sorted(r.name for r in io.unpinned(found, {"a.bin": hashlib.sha256(b"x" * 5000).hexdigest(), "b.bin": "0", "c.bin": "1"}).collect()) == ["b.bin", "c.bin"]
+
+
+def test_cells_of_any_type(spark):
+    import json
+
+    values = [("t", ["a", None, 'q"'], {"é": 2}, 3, True, (1, [2])), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(values, "s string, l array<string>, m map<string,int>, n long, b boolean, w struct<x:int,y:array<int>>")
+    got = df.select(*[io.text_or_json(df, c).alias(c) for c in df.columns]).collect()
+    one = values[0]
+    assert tuple(got[0]) == ("t", *[json.dumps(x, ensure_ascii=False) for x in (one[1], one[2], one[3], one[4], {"x": 1, "y": [2]})])
+    assert tuple(got[1]) == ("",) * 6
 
 
 def study_rows(spark, n=60, seed=1):
@@ -212,6 +238,69 @@ def test_folds_keep_groups_whole():
     assert (fold == M.group_folds(y, groups, 4, 5)).all()
 
 
+def test_folds_of_a_table(spark):
+    rng = random.Random(8)
+    rows = [(i, i // rng.choice((1, 2, 3)), int(rng.random() < 0.3)) for i in range(300)] + [(1000 + i, 5000, i % 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, g long, y int")
+    found = {r.g: r.folds for r in M.fold_groups(df, "g", "y", 4, [1, 1001]).collect()}
+    assert set(found) == {g for _, g, _ in rows} and found == {r.g: r.folds for r in M.fold_groups(df.repartition(5), "g", "y", 4, [1, 1001]).collect()}
+    assert any(a != b for a, b in found.values())
+    for seed in (0, 1):
+        for fold in range(4):
+            rest = [y for _, g, y in rows if found[g][seed] != fold]
+            assert 0 < sum(rest) < len(rest) and len(rest) < len(rows)
+    each = {r.id: r.folds[0] for r in M.fold_groups(df, "id", "y", 5, [7]).collect()}
+    for label in (0, 1):
+        sizes = [sum(each[i] == f for i, _, y in rows if y == label) for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+    with pytest.raises(C.ContractError):
+        M.fold_groups(df.where("y = 1"), "g", "y", 3, [1])
+
+
+def test_selectors_beyond_the_sample_score_every_row(spark, monkeypatch):
+    monkeypatch.setattr(M, "FIT_ROWS", 80)
+    df = study_rows(spark, 400)
+    out = M.nested_cv(df, M.Study({"strong": ("strong",)}, group="grp", folds=3, repeats=1, penalties=(1.0,)))
+    assert out.count() == 400 and out.select("id").distinct().count() == 400
+    scored = out.join(df, "id").withColumn("y", F.col("target") == 1)
+    assert T.auroc(scored, "probability", "y", []).first().auroc > 0.9
+    one = M.out_of_fold(df, ("strong",), "target", "grp", "id", 3, 1, 1.0)
+    assert one.count() == 400 and len(M.sample(df, ["target"], "grp", "id")) <= 80
+
+
+def test_out_of_fold_matches_a_plain_loop(spark):
+    df = study_rows(spark, 90)
+    rows = df.toPandas()
+    fold = {r.grp: r.folds[0] for r in M.fold_groups(df, "grp", "target", 3, [4]).collect()}
+    folds = rows["grp"].map(fold).to_numpy()
+    x, y, want = rows[["strong", "weak"]].to_numpy(), rows["target"].to_numpy(), {}
+    for f in range(3):
+        mean, std = x[folds != f].mean(axis=0), x[folds != f].std(axis=0)
+        w = M.fit((x[folds != f] - mean) / std, y[folds != f], 0.5)
+        want |= dict(zip(rows["id"][folds == f], M.predict(w, (x[folds == f] - mean) / std)))
+    got = {r.id: r.probability for r in M.out_of_fold(df, ("strong", "weak"), "target", "grp", "id", 3, 4, 0.5).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_thresholds_match_a_scan():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 300):
+        p, before, after = rng.integers(0, 12, n) / 11, rng.integers(0, 2, n).astype(float), rng.integers(0, 2, n).astype(float)
+        best = max((round(float(np.where(p >= c, after, before).mean()), 12), -int((p >= c).sum()), c) for c in (0.0, *p, np.nextafter(1, 2)))
+        assert M.threshold(p, before, after) == best[2]
+
+
+def test_quantiles_match_numpy(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.choice([None, rng.random(), float(rng.randint(0, 3))])) for _ in range(400)] + [("c", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"low": 0.0, "q": 0.37, "median": 0.5, "high": 1.0}
+    for r in T.quantiles(df, "v", ["g"], shares).collect():
+        own = [v for g, v in rows if g == r.g and v is not None]
+        assert [r[n] for n in shares] == pytest.approx([np.quantile(own, s) for s in shares.values()])
+    assert T.quantiles(df, "v", [], {"q": 0.9}).first().q == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.9))
+
+
 def test_nested_cv_decides_every_row_once_a_repeat(spark):
     df = study_rows(spark)
     out = M.nested_cv(df, STUDY).cache()
