@@ -44,7 +44,7 @@ from pairscope.llm.common import table
 
 MARK = "▁"
 #: Parts and pairs that a worker remembers at most, parts in each of two generations, and the longest part it remembers.
-MEMORY_PARTS, MEMORY_PAIRS, MEMORY_CHARS = 120_000, 300_000, 64
+MEMORY_PARTS, MEMORY_PAIRS, MEMORY_CHARS = 220_000, 500_000, 64
 _ENDS = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum())
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: In paths, a character of the fallback is this less its code point.
@@ -58,13 +58,19 @@ Arc = tuple[int, int, float]
 def shortest_path(length: int, arcs: Callable[[int], list[Arc]], stands: Callable[[int, int], bool] | None, last: Callable[[int], bool]) -> list[int]:
     """The tokens of the path of least weight from 0 to length.
 
-    arcs: of a place, (end, token, weight), weights not negative. stands: whether two tokens may follow each other, so a
-    state is a place and its last token; None: any may, and a state is a place. last: whether a token may be a path of its
-    own. Best first; of equal weights the path that reaches furthest goes on, then the one whose token starts first."""
+    arcs: of a place, (end, token, weight), weights not negative, short ones first. stands: whether two tokens may follow
+    each other (else the weight is infinite), so a state is a place and its last token; None: any may, and a state is a
+    place. last: whether a token may be a path of its own.
+
+    Best first. A queue by weight, then by the place reached, then by the token's start; where tokens are weighed by
+    stands alone, all finite weights are equal, and a stack is such a queue."""
     done: list[tuple[int, int]] = []
-    queue = [(weight, -end, 0, token, -1) for end, token, weight in arcs(0) if end < length or last(token)]
-    heapq.heapify(queue)
-    seen, pop, push = set(), heapq.heappop, heapq.heappush
+    queue: list[tuple[float, int, int, int, int]] = []
+    push, pop = (heapq.heappush, heapq.heappop) if stands is None else (list.append, list.pop)
+    for end, token, weight in arcs(0):
+        if end < length or last(token):
+            push(queue, (weight, -end, 0, token, -1))
+    seen = set()
     while queue:
         weight, end, _, token, before = pop(queue)
         if stands is None:
@@ -174,29 +180,29 @@ class Lexicon:
         #: weights of unigram pieces are shifted by a constant a character, which no choice of a path depends on
         self.shift = 0.0 if bpe else most
         self.worst = min((s for _, s in scores.values()), default=0.0) - _UNKNOWN
-        self.longest = max(map(len, scores), default=1)
-        self.bpe, self.start = bpe, {}  # a state has its arcs by character, and at "" the piece that ends there
+        self.bpe = bpe
+        #: a state: its arcs by character, and the piece that ends there with its weight
+        self.start: list = [{}, None]
         for piece, (token, score) in scores.items():
             state = self.start
             for c in piece:
-                state = state.setdefault(c, {})
-            state[""] = (token, 0.0 if bpe else self.shift * len(piece) - score)
+                state = state[0].setdefault(c, [{}, None])
+            state[1] = (token, 0.0 if bpe else self.shift * len(piece) - score)
 
     def arcs(self, text: str, at: int) -> list[Arc]:
         """(end, token, weight) of the pieces that start here, composed with the fallback where no piece is the character."""
-        state, out, end, single = self.start, [], at, False
-        for c in text[at : at + self.longest]:
-            state = state.get(c)
-            if state is None:
-                break
+        out, end = [], at
+        state = self.start[0].get(text[at])
+        if state is None or state[1] is None:
+            out.append((at + 1, _FALLBACK - ord(text[at]), 0.0 if self.bpe else self.shift - self.worst))
+        while state is not None:
+            following, last = state
             end += 1
-            last = state.get("")
             if last is not None:
-                if end == at + 1:
-                    single = True
                 out.append((end, last[0], last[1]))
-        if not single:
-            out.append((at + 1, _FALLBACK - ord(text[at]), 0.0 if self.bpe else self.shift - self.worst))
+            if end == len(text):
+                break
+            state = following.get(text[end])
         return out
 
 
@@ -217,14 +223,15 @@ class Merges:
     def __init__(self, scores: dict[str, tuple[int, float]], text: Callable[[int], str]):
         self.scores, self.text = scores, text
         self.joined = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def stands(self, left: int, right: int) -> bool:
-        found = self.pairs.get((left, right))
+        pair = (left << 22) + right  # tokens and code points have 21 bits
+        found = self.pairs.get(pair)
         if found is None:
             if len(self.pairs) > MEMORY_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(self.text(left), self.text(right))
+            found = self.pairs[pair] = self.merged(self.text(left), self.text(right))
         return found
 
     def merged(self, left: str, right: str) -> bool:
