@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -22,11 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """While an action runs, at most so many rows go to Python at once (for whole texts, Spark's 10,000 are tens of MB on both sides)."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def saved(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -37,8 +54,11 @@ def working(name: str, forget: Callable[[], object] | None = None) -> None:
     """Said by a worker process that starts a task of the operator ``name``: drops what others remember between tasks.
 
     Workers are used again for other stages, where such memory would only be in the way."""
-    for other in [n for n in _held if n != name]:
+    others = [n for n in _held if n != name]
+    for other in others:
         _held.pop(other)()
+    if others:
+        gc.collect()
         pa.default_memory_pool().release_unused()
     if forget is not None:
         _held[name] = forget

@@ -106,7 +106,9 @@ def sketch(docs: DataFrame, config: JoinConfig) -> np.ndarray:
     parts = texts.coalesce(tasks).mapInArrow(count, "block int, counts binary")
     n_blocks = _SKETCH_ROWS * size // _BLOCK
     out = np.zeros((n_blocks, _BLOCK), dtype=np.uint32)
-    for row in parts.repartition(min(n_blocks, tasks), "block").mapInArrow(merge, "block int, counts binary").collect():  # of fixed size
+    with common.small_batches(docs.sparkSession):
+        merged = parts.repartition(min(n_blocks, tasks), "block").mapInArrow(merge, "block int, counts binary").collect()  # of fixed size
+    for row in merged:
         out[row["block"]] = np.frombuffer(row["counts"], dtype=np.uint32)
     return out.reshape(_SKETCH_ROWS, size)
 

@@ -44,7 +44,7 @@ from pairscope.llm.common import table
 
 MARK = "▁"
 #: Parts and pairs that a worker remembers at most, parts in each of two generations, and the longest part it remembers.
-MEMORY_PARTS, MEMORY_PAIRS, MEMORY_CHARS = 220_000, 500_000, 64
+MEMORY_PARTS, MEMORY_PAIRS, MEMORY_CHARS = 160_000, 400_000, 64
 _ENDS = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum())
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: In paths, a character of the fallback is this less its code point.
