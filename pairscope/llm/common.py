@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -24,29 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """While an action runs, at most so many rows go to Python at once (for whole texts, Spark's 10,000 are tens of MB on both sides)."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
-
-
 def saved(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    with small_batches(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Whole texts that go to Python at once, at most.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches set to BATCH_ROWS rows, if they are larger: Spark's 10,000 are made for numbers,
+    and of whole texts are tens of MB, several times over, on both sides of each worker."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 _held: dict[str, Callable[[], object]] = {}
 
 
@@ -59,7 +58,9 @@ def working(name: str, forget: Callable[[], object] | None = None) -> None:
         _held.pop(other)()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)  # what the allocator keeps goes back, too
     if forget is not None:
         _held[name] = forget
 

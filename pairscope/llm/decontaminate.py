@@ -121,7 +121,7 @@ def _document() -> Column:
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs (doc_id, th, item_id, shared, n_shingles): the document has at least PERCENT of the item's shingles; th: hash of the text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
+    docs = common.small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text")))
     index, index_path = saved(item_index(items), "items")
     bodies = index.select("rid", "body").dropDuplicates(["rid"])
     met, met_path = saved(meetings(docs, index), "meetings")

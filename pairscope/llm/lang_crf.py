@@ -287,7 +287,7 @@ def predict(docs: DataFrame, field: Field | None, lang: str = "lang_pred", score
     """Adds the predicted language and its score to docs by their text, under names that docs hasn't."""
     names = [*docs.columns, lang, score]
     at = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = common.small_batches(docs).sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.working("lang_crf")

@@ -106,9 +106,7 @@ def sketch(docs: DataFrame, config: JoinConfig) -> np.ndarray:
     parts = texts.coalesce(tasks).mapInArrow(count, "block int, counts binary")
     n_blocks = _SKETCH_ROWS * size // _BLOCK
     out = np.zeros((n_blocks, _BLOCK), dtype=np.uint32)
-    with common.small_batches(docs.sparkSession):
-        merged = parts.repartition(min(n_blocks, tasks), "block").mapInArrow(merge, "block int, counts binary").collect()  # of fixed size
-    for row in merged:
+    for row in parts.repartition(min(n_blocks, tasks), "block").mapInArrow(merge, "block int, counts binary").collect():  # of fixed size
         out[row["block"]] = np.frombuffer(row["counts"], dtype=np.uint32)
     return out.reshape(_SKETCH_ROWS, size)
 
@@ -277,7 +275,7 @@ class _Lists:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return common.small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"))
 
 
 def _lists(docs: DataFrame, config: JoinConfig) -> _Lists:

@@ -57,7 +57,7 @@ def statistics(docs: DataFrame) -> DataFrame:
                 _chunk(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], sets, {k: v[first:last] for k, v in out.items()})
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(out[name]) for name in STATISTICS]], names=["doc_id", *STATISTICS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{name} double" for name in STATISTICS))
+    return common.small_batches(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{name} double" for name in STATISTICS))
 
 
 def _chunk(data: np.ndarray, offsets: np.ndarray, sets: dict[str, np.ndarray], out: dict[str, np.ndarray]) -> None:

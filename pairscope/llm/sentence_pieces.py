@@ -44,7 +44,7 @@ from pairscope.llm.common import table
 
 MARK = "▁"
 #: Parts and pairs that a worker remembers at most, parts in each of two generations, and the longest part it remembers.
-MEMORY_PARTS, MEMORY_PAIRS, MEMORY_CHARS = 160_000, 400_000, 64
+MEMORY_PARTS, MEMORY_PAIRS, MEMORY_CHARS = 100_000, 250_000, 64
 _ENDS = "".join(chr(x) for x in range(0x21, 0x7F) if not chr(x).isalnum())
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: In paths, a character of the fallback is this less its code point.
@@ -411,7 +411,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     added = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("round_trip", T.BooleanType())])
     names = [c for c in docs.columns if c not in added.names]
     at = names.index("text")
-    own = docs.select(*names)
+    own = common.small_batches(docs.select(*names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.working("sentence_pieces", pieces.cache_clear)

@@ -170,7 +170,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-    return ordered.mapInArrow(write, schema)
+    return common.small_batches(ordered).mapInArrow(write, schema)
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
