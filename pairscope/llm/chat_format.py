@@ -5,10 +5,9 @@ conversation and compares consecutive outputs: where an output extends the one b
 turn's span; where it does not, the template rewrites history, which is reported with the length of the part
 that stayed. Within a span the turn's (escaped) text is located, which gives the loss mask of assistant turns.
 
-Every prefix is rendered, at any length, so a black box costs time by the square of a conversation's turns. A
-template declared as Pieces (a head and a text for each turn by itself) has prefixes that extend each other by
-its definition; they are put together from the pieces, in time near the conversation's size. The output is
-always the whole template(turns). Where history is rewritten, the spans are those of the turns before it that lie in
+Every prefix is rendered, at any length and for any template, the query's own included, so time grows by the square
+of a conversation's turns (for the query's template by copies of its kept texts alone). The output is always the
+whole template(turns). Where history is rewritten, the spans are those of the turns before it that lie in
 what the output still shares with the last prefix that held. An assistant turn whose text isn't in its span, as the
 template altered it, is reported and has no loss span.
 
@@ -24,6 +23,8 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import takewhile
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,12 +39,13 @@ ASSISTANT = "assistant"
 #: Control strings: a backslash and a letter in texts can stand for each of them.
 START, MIDDLE, END = "<|turn|>", "<|text|>", "<|end|>"
 _ESCAPES = {"\\": "\\\\", "<|": "\\<\\|", "[INST]": "\\[INST\\]", "[/INST]": "\\[/INST\\]", "<s>": "\\<s\\>", "</s>": "\\</s\\>"}
-_CONTROL = re.compile("|".join(re.escape(x) for x in sorted(_ESCAPES, key=len, reverse=True)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: _ESCAPES[m[0]], text)
+    for raw, safe in _ESCAPES.items():  # the backslash first; no other control string overlaps what a replacement leaves
+        text = text.replace(raw, safe)
+    return text
 
 
 def unescape(text: str) -> str:
@@ -52,13 +54,21 @@ def unescape(text: str) -> str:
 
 @dataclass(frozen=True)
 class Pieces:
-    """A template that is a head and then a text for each turn, which depends on that turn alone."""
+    """A template that is a head and then a text for each turn, which depends on that turn alone; to render() a black box
+    as any other. It keeps the texts of the turns it was last called with, as the next call often begins with the same."""
 
     head: str
     piece: Callable[[str, str], str]
+    _turns: list[Turn] = field(default_factory=list, init=False, repr=False, compare=False)
+    _texts: list[str] = field(default_factory=list, init=False, repr=False, compare=False)
 
     def __call__(self, turns: list[Turn]) -> str:
-        return self.head + "".join(self.piece(role, text) for role, text in turns)
+        same = sum(1 for _ in takewhile(bool, map(eq, turns, self._turns)))
+        del self._turns[same:], self._texts[same:]
+        for turn in turns[same:]:
+            self._texts.append(self.piece(*turn))
+            self._turns.append(turn)
+        return self.head + "".join(self._texts)
 
 
 def _block(role: str, text: str) -> str:
@@ -82,18 +92,25 @@ class Formatted:
     altered: list[int] = field(default_factory=list)
 
 
-def _common(a: str, b: str) -> int:
-    low, high = 0, min(len(a), len(b))
+def _common(a: str, b: str, low: int = 0) -> int:
+    """The length of what a and b share from the start, of which low is known."""
+    high = min(len(a), len(b))
     while low < high:
         middle = (low + high + 1) // 2
-        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
     return low
 
 
+def _place(turns: list[Turn], i: int, template: Template, before: str) -> tuple[int, int]:
+    """What stands before and after the text of turn i in the output of turns[: i + 1]: how many characters two renderings
+    of the turn, with unlike texts, share at the start and at the end."""
+    one, two = (template([*turns[:i], (turns[i][0], text)]) for text in ("a", "b"))
+    head = _common(one, two, len(before) if one.startswith(before) and two.startswith(before) else 0)
+    return max(head, len(before)), _common(one[head:][::-1], two[head:][::-1])
+
+
 def render(turns: list[Turn], template: Template, escaping: Callable[[str], str] = escape) -> Formatted:
-    """Locates every turn's span in the template's output."""
-    if isinstance(template, Pieces):
-        return _joined(turns, template, escaping)
+    """Locates every turn's span in the template's output, by renderings of successive prefixes alone."""
     before = template([])
     out = Formatted("", [], [])
     for i, (role, text) in enumerate(turns):
@@ -103,10 +120,9 @@ def render(turns: list[Turn], template: Template, escaping: Callable[[str], str]
             break
         out.spans.append((len(before), len(after)))
         if role == ASSISTANT:
-            # where a turn's text starts: what two renderings of the turn, with unlike texts, share
-            head = _common(template([*turns[:i], (role, "a")]), template([*turns[:i], (role, "b")]))
+            head, tail = _place(turns, i, template, before)
             body = escaping(text)
-            if (at := after.find(body, max(head, len(before)))) >= 0:
+            if (at := after.find(body, head, len(after) - tail)) >= 0:
                 out.loss.append((at, at + len(body)))
             else:
                 out.altered.append(i)
@@ -118,24 +134,6 @@ def render(turns: list[Turn], template: Template, escaping: Callable[[str], str]
     return out
 
 
-def _joined(turns: list[Turn], template: Pieces, escaping: Callable[[str], str]) -> Formatted:
-    """As render, for pieces."""
-    out, pieces, size = Formatted("", [], []), [template.head], len(template.head)
-    head = _common(template.piece(ASSISTANT, "a"), template.piece(ASSISTANT, "b"))
-    for i, (role, text) in enumerate(turns):
-        added = template.piece(role, text)
-        out.spans.append((size, size + len(added)))
-        if role == ASSISTANT:
-            if (at := added.find(body := escaping(text), head)) >= 0:
-                out.loss.append((size + at, size + at + len(body)))
-            else:
-                out.altered.append(i)
-        pieces.append(added)
-        size += len(added)
-    out.text = "".join(pieces)
-    return out
-
-
 _BLOCK = re.compile(f"{re.escape(START)}(.*?){re.escape(MIDDLE)}(.*?)(?:{re.escape(END)}|</s>)\n", re.DOTALL)
 
 
@@ -196,7 +194,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     def nested(column: str) -> str:
-        for raw, safe in _ORDERED:
+        for raw, safe in _ESCAPES.items():
             column = f"replace({column}, '{raw}', '{safe}')"
         return column
 
@@ -212,6 +210,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM r GROUP BY conv_id"""
 
 
-#: The escapes one after the other give the same lengths as at once: the backslash goes first, and the others don't overlap.
-_ORDERED = list(_ESCAPES.items())
 ORACLE_SQL = _oracle()

@@ -613,6 +613,33 @@ def test_long_conversations_by_true_prefixes(spark):
     assert (got.formatted, got.rewrites) == (late(turns), 100)
 
 
+def test_declared_templates_are_black_boxes():
+    """Pieces are rendered prefix by prefix, the query's template too, and what a call gives is what counts."""
+    turns, seen = [("user", "a"), ("assistant", "bee"), ("user", "c"), ("assistant", "<s>d")], []
+
+    class Recorded(chat_format.Pieces):
+        def __call__(self, ts):
+            seen.append(list(ts))
+            return super().__call__(ts)
+
+    own = chat_format.turns_template
+    out = chat_format.render(turns, Recorded(own.head, own.piece))
+    assert [turns[:i] for i in range(5)] == [ts for ts in seen if ts == turns[: len(ts)]]
+    assert out.text == own(turns) and [chat_format.unescape(out.text[a:b]) for a, b in out.loss] == ["bee", "<s>d"]
+
+    class Late(chat_format.Pieces):
+        def __call__(self, ts):
+            return f"{len(ts) > 2}" + super().__call__(ts)
+
+    out = chat_format.render(turns, late := Late(own.head, own.piece))
+    assert (out.rewrites, out.stayed, out.text, out.loss) == (2, 0, late(turns), [])
+
+
+def test_loss_lies_between_what_a_turn_has_before_and_after_its_text():
+    out = chat_format.render([("user", "a"), ("assistant", "a"), ("assistant", "A"), ("assistant", "")], lambda ts: "".join(f"<{r}>{x.upper()}</a>" for r, x in ts))
+    assert out.altered == [1] and [out.text[a:b] for a, b in out.loss] == ["A", ""]
+
+
 def test_rendering_round_trips():
     import random
 
