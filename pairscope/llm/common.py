@@ -65,6 +65,16 @@ def working(name: str, forget: Callable[[], object] | None = None) -> None:
         _held[name] = forget
 
 
+def release(spark: SparkSession) -> None:
+    """Has the executors collect their garbage now and give the room back to the system.
+
+    A heap that earlier work has filled stays at its bound, and with it the buffers outside the heap and the compiled
+    plans that only old garbage holds, while what comes next needs memory outside it. One task a core, as all are free."""
+    n = max(spark.sparkContext.defaultParallelism, 1)
+    collect = F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collect.alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def free_names(taken: list[str], *wanted: str) -> dict[str, str]:
     """A name for each of wanted that no column has, whatever its case."""
     held, out = {c.lower() for c in taken}, {}

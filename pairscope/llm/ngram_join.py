@@ -342,6 +342,7 @@ def _joined(docs: DataFrame, config: JoinConfig) -> DataFrame:
     """Per document of docs (doc_id, th, text): doc_id, th, n, class_id, component_id, and root, the component's own name (NULL: an empty set)."""
     spark, percent = docs.sparkSession, config.percent
     found = _lists(docs, config)
+    common.release(spark)
     own, classes, lists, groups, large = found.own, found.classes, found.lists, found.groups, found.large
 
     lead = lists.where("leads").select("token", F.col("gid").alias("lead_gid"), F.col("n").alias("lead_n"), F.col("p").alias("lead_p"))
@@ -361,6 +362,7 @@ def _joined(docs: DataFrame, config: JoinConfig) -> DataFrame:
     members, members_path = saved(_members(found, placed), "members")
     split = members.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     parted = members.join(split, "token").join(classes.select("c", "parity"), "c")
+    common.release(spark)
     more, more_path = _checked(docs, classes, _near(parted, percent, True), config, "rest")
     if more is not None and not more.isEmpty():
         roots = components(edges.union(more))

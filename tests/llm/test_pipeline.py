@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 
-from pairscope.llm import lang_crf
+from pairscope.llm import common, lang_crf
 from tests.llm.conftest import ITEMS
 from tests.llm.test_operators import contained, deduplicated, linked
 
@@ -38,3 +38,17 @@ def test_run_matches_brute_force(spark, odd):
 
 def test_empty_table(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_executors_give_memory_back_before_each_stage(spark, empty):
+    """Old garbage is gone after a release, and every stage begins with one."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def collections():
+        return sum(bean.getCollectionCount() for bean in beans if "Old" in bean.getName() or "MarkSweep" in bean.getName())
+
+    common.release(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        before = collections()
+        docs = stage(spark, spark.read.parquet(f"{empty}/documents.parquet"), empty)
+        assert collections() > before and docs.count() == 0
