@@ -58,21 +58,29 @@ def working(name: str, forget: Callable[[], object] | None = None) -> None:
         _held.pop(other)()
     if others:
         gc.collect()
-    pa.default_memory_pool().release_unused()
-    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-        trim(0)  # what the allocator keeps goes back, too
+    give_back()
     if forget is not None:
         _held[name] = forget
 
 
+def give_back() -> None:
+    """Returns what this process has freed, and its allocators keep, to the system."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def release(spark: SparkSession) -> None:
-    """Has the executors collect their garbage now and give the room back to the system.
+    """Has the executors and the driver collect their garbage now and give the room back to the system.
 
     A heap that earlier work has filled stays at its bound, and with it the buffers outside the heap and the compiled
-    plans that only old garbage holds, while what comes next needs memory outside it. One task a core, as all are free."""
+    plans that only old garbage holds, while what comes next needs memory outside it. One task a core, as all are free.
+    The driver does likewise, in its JVM and in Python."""
     n = max(spark.sparkContext.defaultParallelism, 1)
     collect = F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))
     spark.range(0, n, 1, n).select(collect.alias("done")).write.format("noop").mode("overwrite").save()
+    give_back()
+    spark._jvm.java.lang.System.gc()
 
 
 def free_names(taken: list[str], *wanted: str) -> dict[str, str]:

@@ -18,6 +18,7 @@ never held out and never trained on); an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,6 +138,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     data = np.concatenate([p[1] for p in parts])
     starts, ends = (np.concatenate([p[j] + s for p, s in zip(parts, shift)]) for j in (2, 3))
     rows, hashes = np.concatenate([p[4] + p[0] for p in parts]), np.concatenate([p[5] for p in parts])
+    del parts  # as much again
     if not len(starts):
         return None
     slots = np.zeros(1 << LEXICON_BITS, dtype=np.uint64)
@@ -251,7 +253,10 @@ def passage(text: Column, doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Field | None:
-    """Fits a field on the bounded sample of docs (doc_id, text, lang)."""
+    """Fits a field on the bounded sample of docs (doc_id, text, lang).
+
+    One task of the executors fits; the driver gets the field alone, as the sample and its words' features take more."""
+    common.small_batches(docs)
     rows = docs.where((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").count().collect()
     if not counts:
@@ -259,8 +264,24 @@ def train(docs: DataFrame) -> Field | None:
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, PER_LANG / r["count"])) for r in counts], "__lang string, share double")
     found = rows.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(dice < F.col("share"))
-    sample = found.select("doc_id", passage(F.col("text"), F.col("doc_id")).alias("text"), "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * PER_LANG * len(counts)).collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    sample = found.select("doc_id", passage(F.col("text"), F.col("doc_id")).alias("text"), "lang").orderBy(*order).limit(2 * PER_LANG * len(counts))
+    learn = fit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.working("lang_crf")
+        texts, langs = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            langs += batch.column(1).to_pylist()
+        field = learn(texts, langs)
+        del texts, langs
+        common.give_back()  # the worker goes on with other tasks
+        if field is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], names=["field"])
+
+    got = sample.coalesce(1).sortWithinPartitions(*order).select("text", "lang").mapInArrow(run, "field binary").collect()
+    return pickle.loads(got[0]["field"]) if got else None
 
 
 def _judged(field: Field | None, texts: pa.Array) -> tuple[pa.Array, pa.Array]:

@@ -403,6 +403,25 @@ def test_the_stage_keeps_clashing_columns(spark, odd):
     assert lang_crf.stage(spark, df, odd).columns == df.columns
 
 
+def test_fields_are_fitted_by_the_executors(spark, monkeypatch):
+    """The driver gets the field alone; the sample comes to one task whole and in the order of a hash."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"word{i} again", ("fr", "en")[i % 2]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    with monkeypatch.context() as m:
+        m.setattr(lang_crf, "fit", lambda texts, langs: (os.getpid(), list(zip(texts, langs))))
+        pid, sample = lang_crf.train(df)
+    assert pid != os.getpid()
+    ordered = [(r.text, r.lang) for r in df.orderBy(F.xxhash64("doc_id")).collect()]
+    assert 800 < len(sample) <= 2 * 900 and sample == [x for x in ordered if x in set(sample)]
+    field, here = lang_crf.train(df), lang_crf.fit(*map(list, zip(*sample)))
+    assert field.langs == here.langs and all((getattr(field, k) == getattr(here, k)).all() for k in ("grams", "lexicon", "slots", "steps"))
+    assert lang_crf.train(df.limit(0)) is None and lang_crf.train(df.withColumn("text", F.lit("  "))) is None
+
+
 def test_rare_languages_and_long_texts_are_learned(spark, monkeypatch):
     import random
 
